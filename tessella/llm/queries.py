@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import quality
+from tessella.llm import decontamination, packing, quality, simhash
 from tessella.llm.common import table
 
 QUERIES = {
+    "op1_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
+    "op5_best_fit_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
+    "op7_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_quality_rules": lambda spark, d: quality.quality(table(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {}
