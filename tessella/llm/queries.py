@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontamination, packing, quality, simhash
+from tessella.llm import chat, decontamination, packing, quality, simhash, warc
 from tessella.llm.common import table
 
 QUERIES = {
     "op1_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
+    "op3_warc": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
     "op5_best_fit_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_quality_rules": lambda spark, d: quality.quality(table(spark, d, "documents")),
+    "op10_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
 }
 ORACLES: dict[str, str] = {}
