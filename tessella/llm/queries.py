@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, decontamination, katz, packing, quality, simhash, warc
+from tessella.llm import chat, decontamination, katz, packing, quality, simhash, tokencounts, warc
 from tessella.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_katz_scores": lambda spark, d: katz.scored(table(spark, d, "documents")),
     "op3_warc": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
     "op5_best_fit_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
+    "op6_token_counts": lambda spark, d: tokencounts.section_counts(table(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_quality_rules": lambda spark, d: quality.quality(table(spark, d, "documents")),
     "op10_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
