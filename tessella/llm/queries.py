@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, decontamination, katz, packing, quality, simhash, tokencounts, warc
+from tessella.llm import chat, decontamination, katz, packing, passages, quality, simhash, tokencounts, warc
 from tessella.llm.common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": lambda spark, d: tokencounts.section_counts(table(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_quality_rules": lambda spark, d: quality.quality(table(spark, d, "documents")),
+    "op9_compact_windows": lambda spark, d: passages.report(table(spark, d, "documents")),
     "op10_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
 }
 ORACLES: dict[str, str] = {}
