@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, decontamination, katz, packing, passages, quality, simhash, tokencounts, warc
+from tessella.llm import bytedups, chat, decontamination, katz, packing, passages, quality, simhash, tokencounts, warc
 from tessella.llm.common import table
 
 QUERIES = {
     "op1_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
     "op2_katz_scores": lambda spark, d: katz.scored(table(spark, d, "documents")),
     "op3_warc": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
+    "op4_byte_dedup": lambda spark, d: bytedups.report(table(spark, d, "documents")),
     "op5_best_fit_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: tokencounts.section_counts(table(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
