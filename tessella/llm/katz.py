@@ -43,8 +43,8 @@ from tessella.llm.common import pack, pack_sorted, stored, unpack, unpack_sorted
 
 K = 5
 EPSILON = 0.01
-CHUNK_TOKENS = 3_000_000
-BUCKET_BYTES = 32 << 20
+CHUNK_TOKENS = 1_000_000
+BUCKET_BYTES = 12 << 20
 UNIT = 2.0**32
 #: Words hold no white space, so these names are free.
 END, BEGIN = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\n\n")
