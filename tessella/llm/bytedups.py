@@ -33,9 +33,11 @@ from tessella.llm.suffixes import suffix_order
 
 WIDTH = 200
 GRAM = 32
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
-SORT_MEMORY = 128 << 20
+#: Bytes of corpus for each shard that is sorted.
+SHARD_BYTES = 4 << 20
+SORT_MEMORY = 64 << 20
 
 ROWS = "kind string, key long, data array<binary>"
 ARROW = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("data", pa.list_(pa.binary()))])
@@ -280,7 +282,7 @@ def place_runs(width: int):
     return place
 
 
-def spans(rows: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
+def spans(rows: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
     """row, begins and ends of the byte spans that go, of every row (of :func:`numbered`) that loses any."""
     gram = min(GRAM, 1 << (width.bit_length() - 2))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -289,7 +291,7 @@ def spans(rows: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, b
     repeated = counted.filter("kind = 'anchors'").groupBy("key").applyInArrow(_repeated, ROWS)
     asked = counted.filter("kind = 'places'").union(repeated).groupBy("key").applyInArrow(_wanted, "row long, wanted array<binary>")
     having = rows.join(stored(asked), "row").select("row", "text", "wanted")
-    cutting = _in_chunks(chunk_bytes, cut_fragments(1 + 4 * size // bucket_bytes, width))
+    cutting = _in_chunks(chunk_bytes, cut_fragments(1 + size // shard_bytes, width))
     cut = stored(having.mapInArrow(cutting, ROWS), "kind").select("kind", "key", "data")
     runs = cut.filter("kind = 'fragments'").groupBy("key").applyInArrow(sort_shard(width, memory), ROWS)
     placed = cut.filter("kind = 'places'").union(runs).groupBy("key").applyInArrow(place_runs(width), "row long, begins array<long>, ends array<long>")

@@ -74,9 +74,10 @@ def types(text: np.ndarray) -> np.ndarray:
     differs = np.empty(n, bool)
     differs[:-1] = text[1:] != text[:-1]
     differs[-1] = True
-    at = np.where(differs, np.arange(n), n)
+    at = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
     follow = np.minimum.accumulate(at[::-1])[::-1]  # last place of each run of one byte
-    after = np.append(text, 0)[follow + 1]
+    follow += 1
+    after = np.append(text, np.uint8(0))[follow]
     return (text < after) | (text == 0)
 
 

@@ -55,7 +55,7 @@ def test_bytes_match_brute_force(spark, width):
     texts += ["", None, texts[0], texts[0], "a" * 2000, "\0" * (width + 1), "x" * (width - 1)]
     rows = [(i if i != 7 else None, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x")]
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = bytedups.deduplicated(frame, width, chunk_bytes=3000, bucket_bytes=4000, memory=1000).collect()
+    got = bytedups.deduplicated(frame, width, chunk_bytes=3000, bucket_bytes=4000, shard_bytes=1000, memory=1000).collect()
     want = sorted((-1 if d is None else d, *x) for (d, _, _), x in zip(rows, brute([t for _, t, _ in rows], width)))
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
