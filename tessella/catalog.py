@@ -1,6 +1,496 @@
-"""The query catalogue: each operator bound to the driver tables, with its oracle SQL."""
+"""The query catalogue: each operator bound to the driver tables, with its oracle SQL.
+
+The tables hold no novels, so operators are bound to shapes of the same algebra: suppliers are entities, an
+order is a passage, the suppliers of an order's lines are a claim about each pair of them, return flags
+are bases or versions, and events are decisions in a log.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import text as X
+from tessella.operators import anchors, continuity, diff, edges, lineage, overlay, resolve, segments, validate, verify
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def pairs_of(lines: DataFrame, *keys: str) -> DataFrame:
+    """Claims about each pair of suppliers with lines of one order (and of equal ``keys``). One shuffle, by order; an order has few lines."""
+    suppliers = F.array_sort(F.collect_set(long("l_suppkey"))).alias("s")
+    groups = lines.groupBy("l_orderkey", *keys).agg(suppliers).filter(F.size("s") > 1)
+    first = groups.select("l_orderkey", *keys, "s", F.posexplode("s").alias("i", "source"))
+    rest = first.select("l_orderkey", *keys, "source", F.explode(F.slice(F.col("s"), F.col("i") + 2, F.size("s"))).alias("target"))
+    return rest.withColumnRenamed("l_orderkey", "passage")
+
+
+def claims_of(lines: DataFrame, types: bool = False) -> DataFrame:
+    """The same as rows that :func:`edges.evidence` takes."""
+    keys = ["l_returnflag"] if types else []
+    found = pairs_of(lines, *keys)
+    kinds = F.array("l_returnflag") if types else F.array().cast("array<string>")
+    return found.select(long("passage").alias("ord"), "source", "target", long("passage").alias("passage"), F.lit(None).cast("string").alias("quotation"), kinds.alias("types"))
+
+
+def graph(spark, d, flag: str) -> DataFrame:
+    """The graph over lines of one return flag, as a version: ord, source, target, weight, types, weight_basis."""
+    lines = read(spark, d, "lineitem").filter(F.col("l_returnflag") == flag)
+    made = pairs_of(lines).groupBy("source", "target").agg(F.count_distinct("passage").alias("weight"))
+    return made.select(F.col("source").alias("ord"), "source", "target", "weight", F.array().cast("array<string>").alias("types"), F.lit("orders").alias("weight_basis"))
+
+
+PAIRS = "select distinct a.l_orderkey as o, least(a.l_suppkey, b.l_suppkey) as s, greatest(a.l_suppkey, b.l_suppkey) as t{k} from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey{w}"
+G = "select cast(s as bigint) as source, cast(t as bigint) as target, count(distinct o)::bigint as weight from (" + PAIRS + ") group by all"
+
+
+def graph_sql(flag: str) -> str:
+    return G.format(k="", w=f" and a.l_returnflag = '{flag}' and b.l_returnflag = '{flag}'")
+
+
+ALL = G.format(k="", w="")
+
+
+@query(f"select source, target, weight, 'orders' as weight_basis from ({ALL})")
+def edge_aggregate(spark, d):
+    return edges.aggregate_claims(claims_of(read(spark, d, "lineitem")), "orders").select("source", "target", "weight", "weight_basis")
+
+
+@query(
+    "select cast(s as bigint) as source, cast(t as bigint) as target, f as weight_basis, count(distinct o)::bigint as weight from ("
+    + PAIRS.format(k=", a.l_returnflag as f", w=" and a.l_returnflag = b.l_returnflag")
+    + ") group by all"
+)
+def edge_by_basis(spark, d):
+    found = pairs_of(read(spark, d, "lineitem"), "l_returnflag")
+    return found.groupBy("source", "target", F.col("l_returnflag").alias("weight_basis")).agg(F.count("*").alias("weight"))
+
+
+@query(
+    "select cast(s as bigint) as source, cast(t as bigint) as target, string_agg(distinct f, ',' order by f) as types, count(distinct o)::bigint as weight from ("
+    + PAIRS.format(k=", a.l_returnflag as f", w=" and a.l_returnflag = b.l_returnflag")
+    + ") group by all"
+)
+def edge_types(spark, d):
+    made = edges.aggregate_claims(claims_of(read(spark, d, "lineitem"), types=True), "orders")
+    return made.select("source", "target", F.array_join("types", ",").alias("types"), "weight")
+
+
+@query("select cast(s as bigint) as source, cast(t as bigint) as target, min(o)::bigint as first_order, max(o)::bigint as last_order from (" + PAIRS.format(k="", w="") + ") group by all")
+def edge_first_evidence(spark, d):
+    found = edges.evidence(claims_of(read(spark, d, "lineitem")))
+    return found.groupBy("source", "target").agg(F.min("first.passage").alias("first_order"), F.max("first.passage").alias("last_order"))
+
+
+@query(f"select 'rel:' || least(source::varchar, target::varchar) || '--' || greatest(source::varchar, target::varchar) as id, weight from ({ALL}) order by weight desc, id limit 25")
+def heaviest_edge(spark, d):
+    return edges.heaviest(edges.aggregate_claims(claims_of(read(spark, d, "lineitem")), "orders"), 25).select("id", "weight")
+
+
+@query("select l_suppkey::bigint as suppkey, case when count(distinct l_returnflag) = 1 then max(l_returnflag) end as basis, count(distinct l_returnflag)::bigint as n_bases from lineitem group by all")
+def basis_guard(spark, d):
+    rows = read(spark, d, "lineitem").select(long("l_suppkey").alias("suppkey"), F.col("l_returnflag").alias("weight_basis"))
+    return edges.shared_basis(rows, "suppkey")
+
+
+DIFF = """with a as ({a}), b as ({b}) select coalesce(a.source, b.source) as a, coalesce(a.target, b.target) as b,
+ case when b.source is null then 'removed' when a.source is null then 'added' when b.weight > a.weight then 'strengthened' else 'weakened' end as changes,
+ a.weight as before_weight, b.weight as after_weight from a full join b on a.source = b.source and a.target = b.target where a.weight is distinct from b.weight"""
+
+
+@query(DIFF.format(a=graph_sql("A"), b=graph_sql("R")))
+def snapshot_diff_edges(spark, d):
+    found = diff.edge_changes(graph(spark, d, "A"), graph(spark, d, "R"))
+    return found.withColumn("changes", F.array_join("changes", ","))
+
+
+MERGED = "select least(s, t) as source, greatest(s, t) as target, arg_max(weight, o) as weight from (select case when source > 50 then source - 50 else source end as s, case when target > 50 then target - 50 else target end as t, weight, source * 1000000 + target as o from ({a})) group by 1, 2"
+
+
+@query(DIFF.format(a=MERGED.format(a=graph_sql("A")), b=graph_sql("R")))
+def diff_through_merge(spark, d):
+    before = graph(spark, d, "A").withColumn("ord", F.col("source") * 1_000_000 + F.col("target"))
+    ids = read(spark, d, "supplier").select(long("s_suppkey").alias("from_id")).filter("from_id > 50")
+    found = diff.edge_changes(before, graph(spark, d, "R"), ids.withColumn("to_id", F.col("from_id") - 50))
+    return found.withColumn("changes", F.array_join("changes", ","))
+
+
+@query("""with n as (select distinct l_suppkey as k, year(l_shipdate) as y from lineitem where l_quantity >= 50 and l_discount >= 0.085),
+ b as (select distinct k from n where y = 1995), a as (select distinct k from n where y = 1996)
+ select 's' || k as id, 'removed' as change, '' as counterparts from b where k not in (select k from a) and not exists (select 1 from a where a.k % 7 = 0 and a.k + 1 = b.k)
+ union all select 's' || k, 'merged', 's' || (k - 1) from b where k not in (select k from a) and exists (select 1 from a where a.k % 7 = 0 and a.k + 1 = b.k)
+ union all select 's' || k, 'added', '' from a where k not in (select k from b) and not exists (select 1 from b where b.k % 7 = 0 and b.k + 1 = a.k and b.k in (select k from a))
+ union all select 's' || k, 'split', 's' || (k - 1) from a where k not in (select k from b) and exists (select 1 from b where b.k % 7 = 0 and b.k + 1 = a.k and b.k in (select k from a))""")
+def snapshot_diff_nodes(spark, d):
+    lines = read(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.085")
+
+    def version(year: int) -> DataFrame:
+        keys = lines.filter(F.year("l_shipdate") == year).select(long("l_suppkey").alias("k")).distinct()
+        name = lambda k: F.concat(F.lit("s"), k.cast("string"))
+        forms = F.when(F.col("k") % 7 == 0, F.array(name(F.col("k") + 1))).otherwise(F.array().cast("array<string>"))
+        return keys.select(F.col("k").alias("ord"), name(F.col("k")).alias("id"), name(F.col("k")).alias("key"), forms.alias("forms"))
+
+    return diff.node_changes(version(1995), version(1996)).withColumn("counterparts", F.array_join("counterparts", ","))
+
+
+@query("""with v as (select distinct year(o_orderdate)::bigint as y, o_orderpriority as p from orders)
+ select a.y as y1, b.y as y2, a.p as p1, b.p as p2, case when a.y <> b.y and a.p <> b.p then 'both' when a.y <> b.y then 'text' when a.p <> b.p then 'analysis' else 'same' end as attribution from v a join v b on a.y <= b.y""")
+def attribution(spark, d):
+    v = read(spark, d, "orders").select(long(F.year("o_orderdate")).alias("y"), F.col("o_orderpriority").alias("p")).distinct()
+    a, b = v.select(F.col("y").alias("y1"), F.col("p").alias("p1")), v.select(F.col("y").alias("y2"), F.col("p").alias("p2"))
+    both = a.join(b, F.col("y1") <= F.col("y2"))
+    return both.select("y1", "y2", "p1", "p2", diff.attribution(F.col("y1") != F.col("y2"), F.col("p1") != F.col("p2")).alias("attribution"))
+
+
+@query(f"with a as ({graph_sql('A')}), b as ({graph_sql('R')}) select source, target, weight, false as only_before from b union all select source, target, weight, true from a where not exists (select 1 from b where b.source = a.source and b.target = a.target)")
+def union_overlay(spark, d):
+    return diff.overlay_union(graph(spark, d, "A"), graph(spark, d, "R")).select("source", "target", "weight", "only_before")
+
+
+@query(f"with a as ({graph_sql('A')}), b as ({graph_sql('R')}) select b.source as a, b.target as b, b.weight from a join b on a.source = b.source and a.target = b.target where a.weight = b.weight")
+def unchanged_edges(spark, d):
+    before, after = graph(spark, d, "A"), graph(spark, d, "R")
+    return diff.unchanged(after, diff.edge_changes(before, after)).select("a", "b", "weight")
+
+
+@query("""with s as (select year(o_orderdate)::bigint as revision, o_orderpriority as configuration, o_orderkey as k from orders where o_totalprice > 400000)
+ select r.revision, c.configuration, count(s.k)::bigint as n, max(s.k)::bigint as newest from (select distinct year(o_orderdate)::bigint as revision from orders) r
+ cross join (select distinct o_orderpriority as configuration from orders) c left join s on s.revision = r.revision and s.configuration = c.configuration group by all""")
+def lineage_grid(spark, d):
+    orders = read(spark, d, "orders").select(long(F.year("o_orderdate")).alias("revision"), F.col("o_orderpriority").alias("configuration"), long("o_orderkey").alias("snapshot"), "o_totalprice")
+    return lineage.grid(orders, orders, orders.filter("o_totalprice > 400000"))
+
+
+def members(spark, d) -> DataFrame:
+    """Customers in the newest month with orders of each year, with their orders there."""
+    orders = read(spark, d, "orders").select(long("o_custkey").alias("id"), F.year("o_orderdate").alias("work"), F.month("o_orderdate").alias("m"))
+    last = orders.groupBy("work").agg(F.max("m").alias("m"))
+    return orders.join(F.broadcast(last), ["work", "m"]).groupBy("work", "id").agg(F.count("*").alias("degree"))
+
+
+MEMBERS = """with o as (select o_custkey::bigint as id, year(o_orderdate) as work, month(o_orderdate) as m from orders),
+ l as (select work, max(m) as m from o group by 1), p as (select o.id, count(distinct work) as n, count(*) as g from o join l using (work, m) group by 1)
+ select c_custkey::bigint as id, coalesce(n, 0)::bigint as n_works, coalesce(g, 0)::bigint as degree from customer left join p on p.id = c_custkey"""
+
+
+@query(MEMBERS)
+def registry_appearances(spark, d):
+    return lineage.appearances(read(spark, d, "customer").select(long("c_custkey").alias("id")), members(spark, d))
+
+
+@query(f"select * from ({MEMBERS}) where n_works > 1")
+def registry_spanning(spark, d):
+    return lineage.spanning(registry_appearances(spark, d))
+
+
+@query("select o_orderkey::bigint as work from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 25)")
+def unanalysed_works(spark, d):
+    works = read(spark, d, "orders").select(long("o_orderkey").alias("work"))
+    return lineage.unanalysed(works, read(spark, d, "lineitem").filter("l_quantity > 25").select(long("l_orderkey").alias("work")))
+
+
+@query("select o_custkey::bigint as custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey))::bigint as newest from orders group by all")
+def newest_snapshot(spark, d):
+    rows = read(spark, d, "orders").select(long("o_custkey").alias("custkey"), long("o_orderkey").alias("seq"), F.col("o_orderdate").alias("created_at"))
+    return lineage.newest(rows, "custkey").select("custkey", F.col("seq").alias("newest"))
+
+
+@query("select p_partkey::bigint as id, case when count(*) over (partition by p_name) > 1 then p_name || ' ' || substr(sha256(p_partkey::varchar), 1, 6) else p_name end as label from part")
+def reading_labels(spark, d):
+    rows = read(spark, d, "part").select(long("p_partkey").alias("id"), "p_name", F.sha2(F.col("p_partkey").cast("string"), 256).alias("key"))
+    return lineage.captions(rows, "p_name", "key").select("id", "label")
+
+
+LATEST = "select {k} as user_id, arg_max(event_type, (ts, event_id)) as status, max_by(event_id, (ts, event_id))::bigint as event_id from events group by 1"
+
+
+@query(LATEST.format(k="user_id::bigint"))
+def latest_status(spark, d):
+    log = read(spark, d, "events").select(long("user_id").alias("user_id"), "ts", long("event_id").alias("event_id"), F.col("event_type").alias("status"))
+    return overlay.latest(log, ["user_id"], ["ts", "event_id"]).select("user_id", "status", "event_id")
+
+
+@query(LATEST.format(k="(case when user_id % 2 = 1 then user_id - 1 else user_id end)::bigint"))
+def latest_status_redirected(spark, d):
+    log = read(spark, d, "events").select(long("user_id").alias("user_id"), "ts", long("event_id").alias("event_id"), F.col("event_type").alias("status"))
+    merges = log.filter("user_id % 2 = 1").select(F.col("user_id").alias("from_id"), (F.col("user_id") - 1).alias("to_id")).distinct()
+    moved = overlay.redirected(log, merges, "user_id")
+    return overlay.latest(moved, ["user_id"], ["ts", "event_id"]).select("user_id", "status", "event_id")
+
+
+@query("""select u.user_id::bigint as user_id, v.event_type as status, count(e.event_id)::bigint as n from (select distinct user_id from events) u cross join (select distinct event_type from events) v
+ left join events e on e.user_id = u.user_id and e.event_type = v.event_type group by all""")
+def status_counts_zero_filled(spark, d):
+    rows = read(spark, d, "events").select(long("user_id").alias("user_id"), F.col("event_type").alias("status"))
+    return overlay.status_counts(rows, rows.select("status").distinct(), "user_id")
+
+
+@query("""with c as (select user_id as id, arg_max(event_type, (ts, event_id)) as t, arg_max(event_id, (ts, event_id)) as e from events group by 1)
+ select s.c_custkey::bigint as id, case when c.id is null then s.c_mktsegment when c.t = 'error' then null else c.t end as segment,
+ case when c.id is null then 'observed' else 'human' end as provenance, case when c.id is null then null else 'corrected' end as review_status from customer s left join c on c.id = s.c_custkey""")
+def apply_corrections(spark, d):
+    subjects = read(spark, d, "customer").select(long("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.lit("observed").alias("provenance"))
+    return overlay.apply_corrections(subjects, _corrections(spark, d), ["segment"]).select("id", "segment", "provenance", "review_status")
+
+
+def _corrections(spark, d) -> DataFrame:
+    log = read(spark, d, "events").select(
+        long("user_id").alias("id"), F.lit("segment").alias("field"), "ts", "event_id", F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("value"),
+        F.when(F.col("event_id") % 3 == 0, "BUILDING").otherwise("AUTOMOBILE").alias("was"),
+    )
+    return overlay.latest(log, ["id", "field"], ["ts", "event_id"]).select("id", "field", "value", "was")
+
+
+@query("""with c as (select user_id as id, arg_max(case when event_id % 3 = 0 then 'BUILDING' else 'AUTOMOBILE' end, (ts, event_id)) as was from events group by 1)
+ select c.id::bigint as id, 'segment' as field, c.was, s.c_mktsegment as proposed from c join customer s on s.c_custkey = c.id where c.was is distinct from s.c_mktsegment""")
+def correction_conflicts(spark, d):
+    subjects = read(spark, d, "customer").select(long("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    return overlay.correction_conflicts(subjects, _corrections(spark, d), {"segment": F.col("segment")})
+
+
+@query("""with recursive r(from_id, to_id) as (select s_suppkey::bigint, (s_suppkey // 2)::bigint from supplier where s_suppkey >= 8
+ union all select from_id, to_id // 2 from r where to_id >= 8) select from_id, to_id from r where to_id < 8""")
+def merge_closure(spark, d):
+    merges = read(spark, d, "supplier").filter("s_suppkey >= 8").select(long("s_suppkey").alias("from_id"), F.expr("cast(s_suppkey div 2 as bigint)").alias("to_id"))
+    return overlay.merge_closure(merges)
+
+
+FORMS = "lower(p_name) || p_size"
+
+
+@query(f"select {FORMS} as form, count(distinct p_brand)::bigint as n_owners, case when count(distinct p_brand) = 1 then max(p_brand) end as owner from part group by 1")
+def alias_ambiguity(spark, d):
+    form = F.concat(F.lower("p_name"), F.col("p_size").cast("string"))
+    return resolve.alias_owners(read(spark, d, "part").select(form.alias("form"), F.col("p_brand").alias("owner")))
+
+
+@query("select p_partkey::bigint as id, lower(p_name) as key, (select min(r.p_partkey) from part r where r.p_partkey % 3 = 0 and lower(r.p_name) = lower(part.p_name))::bigint as entity_id from part")
+def registry_resolve(spark, d):
+    part = read(spark, d, "part").select(long("p_partkey").alias("id"), X.form_key_ascii(F.col("p_name")).alias("key"))
+    registry = part.filter("id % 3 = 0").groupBy("key").agg(F.min("id").alias("entity_id"))
+    return resolve.look_up(part, registry).select("id", "key", "entity_id")
+
+
+@query("select lower(c_mktsegment) as key, arg_min(c_mktsegment, c_custkey) as name, count(*)::bigint as n, arg_min(c_nationkey::varchar, c_custkey) filter (c_nationkey > 3) as kind from customer group by 1")
+def gather_mentions(spark, d):
+    kind = F.when(F.col("c_nationkey") > 3, F.col("c_nationkey").cast("string")).otherwise("unknown")
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("name"), X.form_key_ascii(F.col("c_mktsegment")).alias("key"), kind.alias("kind"))
+    return resolve.gather(rows)
+
+
+LINES = """select doc_id, i::bigint as pos, (sum(length(line) + 1) over w - 1 - length(line))::bigint as start, (sum(length(line) + 1) over w - 1)::bigint as "end", line
+ from (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)) window w as (partition by doc_id order by i)"""
+
+
+@query(f'select doc_id, pos, start, "end", sha256(line) as line_sha256 from ({LINES})')
+def segment_offsets(spark, d):
+    found = segments.lines(read(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "pos", "start", "end", F.sha2(F.col("line").cast("binary"), 256).alias("line_sha256"))
+
+
+@query("select doc_id, len(string_split(text, chr(10)))::bigint as n_lines, max(length(x.line))::bigint as longest from documents, lateral (select unnest(string_split(text, chr(10))) as line) x group by doc_id, text")
+def segment_lines(spark, d):
+    return segments.lines(read(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), long(F.max(F.length("line"))).alias("longest"))
+
+
+@query()
+def window_pack(spark, d):
+    return segments.windows(segments.lines(read(spark, d, "documents").select("doc_id", "text")), 2000)
+
+
+@query()
+def conversation_windows(spark, d):
+    from pyspark.sql.window import Window
+
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.length("text").alias("n"))
+    end = F.sum("n").over(Window.partitionBy("doc_id").orderBy("pos"))
+    return segments.windows(turns.select("doc_id", "pos", (end - F.col("n")).alias("start"), end.alias("end")), 1500)
+
+
+NORM = r"trim(regexp_replace({c}, '[\s\p{{Z}}]+', ' ', 'g'))"
+FOUND = f"select item_id::bigint as item_id, doc_id::bigint as doc_id, (strpos(t, q) - 1)::bigint as \"offset\" from (select item_id, {NORM.format(c='text')} as q from benchmark) join (select doc_id, {NORM.format(c='text')} as t from documents) on contains(t, q)"
+
+
+@query(FOUND)
+def quote_offset(spark, d):
+    return verify.found_in(read(spark, d, "benchmark"), read(spark, d, "documents"))
+
+
+@query(f"select item_id, count(*)::bigint as n_docs, min(doc_id) as first_doc from ({FOUND}) group by 1")
+def verify_quotes(spark, d):
+    found = verify.found_in(read(spark, d, "benchmark"), read(spark, d, "documents"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"select item_id::bigint as item_id from benchmark where item_id not in (select item_id from ({FOUND}))")
+def rejected_quotes(spark, d):
+    quotes = read(spark, d, "benchmark")
+    return quotes.join(verify.found_in(quotes, read(spark, d, "documents")), "item_id", "left_anti").select("item_id")
+
+
+@query(f"""select item_id::bigint as item_id, doc_id::bigint as doc_id, trim(substr(t, greatest(1, p - 40), p - greatest(1, p - 40))) as prefix, trim(substr(t, p + length(q), 40)) as suffix
+ from (select *, strpos(t, q) as p from (select item_id, {NORM.format(c='text')} as q from benchmark) join (select doc_id, {NORM.format(c='text')} as t from documents) on contains(t, q))""")
+def quote_context(spark, d):
+    quotes, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
+    found = verify.found_in(quotes, docs).select("item_id", "doc_id")
+    q, t = quotes.select("item_id", X.normalise_whitespace(F.col("text")).alias("q")), docs.select("doc_id", X.normalise_whitespace(F.col("text")).alias("t"))
+    return found.join(q, "item_id").join(t, "doc_id").withColumn("c", X.context(F.col("t"), F.col("q"))).select("item_id", "doc_id", "c.prefix", "c.suffix")
+
+
+@query("select sha256(text) as sha256, count(*)::bigint as n, min(doc_id)::bigint as first_doc from documents group by 1 having count(*) > 1")
+def content_hash_groups(spark, d):
+    hashed = read(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("sha256"))
+    return hashed.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@query("""with a as (select doc_id, sha256(text) as h from documents where doc_id % 10 <> 3), b as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '.' else text end) as h from documents where doc_id % 10 <> 4)
+ select coalesce(a.doc_id, b.doc_id)::bigint as doc_id, case when a.doc_id is null then 'added' when b.doc_id is null then 'gone' when a.h = b.h then 'unchanged' else 'changed' end as state from a full join b using (doc_id)""")
+def ingest_state(spark, d):
+    from tessella.plans.store import file_states
+
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    old = docs.filter("path % 10 <> 3").select("path", X.content_hash(F.col("text")).alias("sha256"))
+    changed = F.when(F.col("path") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    new = docs.filter("path % 10 <> 4").select("path", X.content_hash(changed).alias("sha256"))
+    return file_states(old, new).select(F.col("path").alias("doc_id"), "state")
+
+
+@query(f"with g as ({graph_sql('R')}) select s_suppkey::bigint as id, (select count(*) from g where source = s_suppkey or target = s_suppkey)::bigint as degree from supplier")
+def degree(spark, d):
+    return edges.degrees(read(spark, d, "supplier").select(long("s_suppkey").alias("id")), graph(spark, d, "R"))
+
+
+@query(f"""with g as (select * from ({graph_sql('R')}) where source % 10 <> 0 and target % 10 <> 0), k as (select * from g where weight >= 3), n as (select s_suppkey as id from supplier where s_suppkey % 10 <> 0),
+ c as (select id, (select count(*) from g where source = id or target = id) as had, (select count(*) from k where source = id or target = id) as degree from n)
+ select id::bigint as id, degree::bigint as degree from c where degree > 0 or had = 0""")
+def filtered_graph(spark, d):
+    nodes = read(spark, d, "supplier").select(long("s_suppkey").alias("id")).filter("id % 10 <> 0")
+    drawn = edges.drawable(nodes, graph(spark, d, "R"))
+    return edges.shown_nodes(nodes, drawn, edges.filtered(drawn, least=3))
+
+
+@query(f"select source, target, weight, round(1 + 13 * sqrt(weight / max(weight) over ()), 6) as width from ({graph_sql('R')})")
+def sqrt_scale(spark, d):
+    return edges.widths(graph(spark, d, "R")).select("source", "target", "weight", F.round("width", 6).alias("width"))
+
+
+@query("select f as type, count(*)::bigint as n from (select distinct s, t, f from (" + PAIRS.format(k=", a.l_returnflag as f", w=" and a.l_returnflag = b.l_returnflag") + ")) group by 1")
+def filter_options(spark, d):
+    return edges.filter_options(edges.aggregate_claims(claims_of(read(spark, d, "lineitem"), types=True), "orders"))
+
+
+DECLARED = """with x as (select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey),
+ e as (select source as a, target as b, weight from (""" + G.format(k="", w=" and a.l_returnflag = 'R' and b.l_returnflag = 'R' and a.l_quantity > 40 and b.l_quantity > 40") + """))
+ select coalesce(x.a, e.a)::bigint as a, coalesce(x.b, e.b)::bigint as b, case when e.a is null then 'declared_only' when x.a is null then 'enacted_only' else 'agreed' end as finding, e.weight as enacted from x full join e on x.a = e.a and x.b = e.b"""
+
+
+@query(DECLARED)
+def declared_vs_enacted(spark, d):
+    suppliers = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_set(long("s_suppkey"))).alias("s"))
+    first = suppliers.select("s", F.posexplode("s").alias("i", "source"))
+    declared = first.select("source", F.explode(F.slice(F.col("s"), F.col("i") + 2, F.size("s"))).alias("target")).select("source", "target", F.lit(1).cast("long").alias("weight"), F.lit("asserted").alias("provenance"))
+    lines = read(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 40")
+    enacted = pairs_of(lines).groupBy("source", "target").agg(F.count("*").alias("weight")).withColumn("provenance", F.lit("observed"))
+    both = declared.unionByName(enacted).withColumn("ord", F.col("source"))
+    return edges.declared_and_enacted(both).select("a", "b", "finding", "enacted")
+
+
+@query("select l_returnflag, count(*)::bigint as n, count(c)::bigint as n_said, count(*) filter (c < 0.5)::bigint as n_uncertain, min(c) as least from (select l_returnflag, case when l_linenumber <> 3 and l_discount * 12 <= 1 then (l_discount * 12)::double end as c from lineitem) group by 1")
+def confidence_summary(spark, d):
+    said = F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 12).alias("confidence")
+    return edges.confidence_summary(read(spark, d, "lineitem").select("l_returnflag", said), "l_returnflag")
+
+
+@query("select l_orderkey::bigint as o_orderkey, l_linenumber::bigint as l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderpriority <> '1-URGENT')")
+def dangling_refs(spark, d):
+    lines = read(spark, d, "lineitem").select(long("l_orderkey").alias("o_orderkey"), long("l_linenumber").alias("l_linenumber"))
+    orders = read(spark, d, "orders").filter("o_orderpriority <> '1-URGENT'").select(long("o_orderkey").alias("k"))
+    return validate.dangling(lines, "o_orderkey", orders, "k")
+
+
+@query("select l_orderkey::bigint as l_orderkey, l_suppkey::bigint as l_suppkey, count(*)::bigint as n from lineitem group by 1, 2 having count(*) > 1")
+def duplicate_ids(spark, d):
+    return validate.duplicates(read(spark, d, "lineitem").select(long("l_orderkey").alias("l_orderkey"), long("l_suppkey").alias("l_suppkey")), "l_orderkey", "l_suppkey")
+
+
+@query("select l_orderkey::bigint as k, l_linenumber::bigint as n, unnest(list_filter([case when not (l_quantity <= 45) then 'quantity' end, case when not (l_discount < 0.09) then 'discount' end, case when not (l_returnflag in ('A', 'N')) then 'flag' end], lambda x: x is not null)) as issue from lineitem")
+def shape_issues(spark, d):
+    rows = read(spark, d, "lineitem").withColumns({"k": long("l_orderkey"), "n": long("l_linenumber")})
+    checks = {"quantity": F.col("l_quantity") <= 45, "discount": F.col("l_discount") < 0.09, "flag": F.col("l_returnflag").isin("A", "N")}
+    return validate.shape_issues(rows, checks, "k", "n")
+
+
+@query("select l_orderkey::bigint as edge, l_linenumber::bigint as stored, row_number() over (partition by l_orderkey order by case when l_returnflag = 'N' then null else l_returnflag end asc nulls last, l_quantity, l_linenumber)::bigint as place from lineitem")
+def evidence_order(spark, d):
+    rows = read(spark, d, "lineitem").select(
+        long("l_orderkey").alias("edge"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("rank"), F.array(F.col("l_quantity").cast("int")).alias("path"),
+        F.lit(0).alias("start"), long("l_linenumber").alias("stored"),
+    )
+    return anchors.in_reading_order(rows, "rank", "path", "start", "stored").select("edge", "stored", "place")
+
+
+@query()
+def reanchor_fuzzy(spark, d):
+    """Benchmark passages with their third word altered, sought in the documents that hold the passage."""
+    quotes, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
+    found = verify.found_in(quotes, docs).select("item_id", "doc_id")
+    words = F.split("q", " ")
+    altered = quotes.select("item_id", X.normalise_whitespace(F.col("text")).alias("q")).select("item_id", F.concat_ws(" ", F.slice(words, 1, 2), F.lit("altered"), F.slice(words, 4, 10_000)).alias("exact"))
+    rows = found.join(altered, "item_id").join(docs.select("doc_id", X.normalise_whitespace(F.col("text")).alias("text")), "doc_id")
+    asked = rows.withColumns({"prefix": F.lit(""), "suffix": F.lit(""), "hint": F.lit(None).cast("int")})
+    return anchors.reanchored(asked).select("item_id", "doc_id", "anchor.*")
+
+
+@query()
+def doc_similarity(spark, d):
+    """Passages that begin alike are taken for versions of one file; each is compared with the most similar earlier one."""
+    docs = read(spark, d, "benchmark")
+    path = F.concat(F.col("item_id").cast("string"), F.lit("/"), F.lower(F.substr(F.col("text"), F.lit(1), F.lit(2))))
+    return continuity.revision_proposals(docs.select(F.col("item_id").alias("ord"), path.alias("path"), F.col("text").alias("content")))
+
+
+@query("""with t(form) as (values ('the'), ('der'), ('que')), p as (select form, source, lang, count(*) as n from documents, t where regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || form || '($|[^\\p{L}\\p{N}_])') group by all),
+ b as (select form, list_sort(list(distinct source)) as was from p where lang in ('en', 'fr') group by 1), a as (select form, list_sort(list(distinct source)) as now from p where lang in ('de', 'fr') group by 1)
+ select form, array_to_string(list_sort(list_filter(was, lambda x: not list_contains(now, x))), ',') as retired, array_to_string(now, ',') as remaining from a join b using (form) where len(list_filter(was, lambda x: not list_contains(now, x))) > 0""")
+def stale_terms(spark, d):
+    docs = read(spark, d, "documents").select("lang", F.col("source").alias("path"), F.col("text").alias("content"))
+    forms = spark.createDataFrame([("the",), ("der",), ("que",)], "form string")
+    before, after = (continuity.presence(forms, docs.filter(F.col("lang").isin(*langs))) for langs in (("en", "fr"), ("de", "fr")))
+    found = continuity.stale_names(before, after)
+    return found.select("form", F.array_join("retired", ",").alias("retired"), F.array_join("remaining", ",").alias("remaining"))
+
+
+@query("select page_id::bigint as page_id, case when page_id % 4 = 0 then 1 else 0 end::bigint as n, (length(html) + case when page_id % 4 = 0 then 41 when page_id % 4 = 1 then 122 else 0 end)::bigint as n_chars from pages")
+def image_payloads(spark, d):
+    pages = read(spark, d, "pages")
+    payload = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("data:image/png;base64,"), F.repeat(F.lit("A"), 600))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("data:image/png;base64,"), F.repeat(F.lit("A"), 100))).otherwise("")
+    cut = pages.select("page_id", X.without_payloads(F.concat("html", payload)).alias("c"))
+    return cut.select("page_id", "c.n", long(F.length("c.text")).alias("n_chars"))
+
+
+@query("select event_id::bigint as event_id, json_type(props) as kind, try_cast(props ->> '$.k' as bigint) as k from events")
+def parse_props(spark, d):
+    v = F.try_parse_json("props")
+    kind = F.when(F.schema_of_variant(v).startswith("OBJECT"), "OBJECT")
+    return read(spark, d, "events").select(long("event_id").alias("event_id"), kind.alias("kind"), F.try_variant_get(v, "$.k", "bigint").alias("k"))
