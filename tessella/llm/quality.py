@@ -140,7 +140,7 @@ def bucket(v: Column) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Bucket counts per language, source, measure: columns lang, source, measure, edge, n."""
+    """Bucket counts per language, source, measure: columns lang, source, measure, edge, n. ``measured`` should be a stored table: it is used several times."""
     long = measured.filter(~base_failed()).select(
         F.col("lang"), F.col("source"), F.explode(F.create_map(*[x for k, v in _derived().items() for x in (F.lit(k), bucket(v))])).alias("measure", "edge")
     )
