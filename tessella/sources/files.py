@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessella.functions.text import canonical_text, content_hash
@@ -61,7 +60,7 @@ def listing(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return taken, ranked.filter("not (_n = 1 and readable)").select("path", "id", why.alias("why"))
 
 
-GRAPH = T.StructType.fromDDL(
+GRAPH = (
     "snapshot struct<id:string,work_id:string,text_revision_id:string,analysis_run_id:string>,"
     "characters array<struct<id:string,name:string,aliases:array<string>,kind:string,provenance:string,review_status:string,notes:string>>,"
     "relations array<struct<id:string,source:string,target:string,weight:double,weight_basis:string,types:array<string>,provenance:string,confidence:double,"
