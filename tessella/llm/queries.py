@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessella.llm import bytedups, chat, decontamination, katz, packing, passages, quality, simhash, tokencounts, warc
 from tessella.llm.common import table
+from tessella.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
@@ -17,4 +18,3 @@ QUERIES = {
     "op9_compact_windows": lambda spark, d: passages.report(table(spark, d, "documents")),
     "op10_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
 }
-ORACLES: dict[str, str] = {}
