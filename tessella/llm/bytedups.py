@@ -3,8 +3,9 @@
 Sharding. The anchor of a string of ``width`` bytes is the place in it where the hash of ``GRAM`` bytes is
 smallest. Equal strings have equal anchors, so strings are dealt out by their anchor's hash and
 duplicates always meet in one shard. Neighbouring strings mostly share an anchor: a fragment is a run of
-them. First only the anchors' hashes are counted; fragments of anchors that occur once cannot hold a
-duplicate and stay behind.
+them. Of two equal strings one side of the anchor is shared over ``SIDE`` grams at least, so first only
+hashes of the anchor with either side are counted; a fragment whose two sides occur once cannot hold a
+duplicate and stays behind.
 
 Sorting. A shard's distinct fragments are sorted by external induced sorting (:mod:`suffixes`), which
 also gives common prefixes. A string is a duplicate if its fragment occurs twice, or if a neighbour in the
@@ -13,7 +14,7 @@ as one entry per chunk in the shard, so a passage in very many documents stays s
 
 Judged on the input: overlapping strings all count. Defined cases: a null or empty text has no bytes; a text shorter
 than ``width`` loses none; rows equal in doc_id and text are copies of each other, as any equal texts are;
-a null doc_id is kept; an empty table gives no rows; other columns are ignored.
+they are told by a hash of both; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import pack, pack_sorted, stored, unpack, unpack_sorted
-from tessella.llm.passages import mix
+from tessella.llm.decontamination import merged
+from tessella.llm.passages import ODD, document_key, mix
 from tessella.llm.suffixes import suffix_order
 
 WIDTH = 200
 GRAM = 32
+#: Grams counted on either side of an anchor: a window of 200 has 168 bytes beside its anchor, 84 or more of them on one side.
+SIDE = 2
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 #: Bytes of corpus for each shard that is sorted.
@@ -69,17 +73,26 @@ def anchors(raw: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
 
 
 def fragments(raw: np.ndarray, width: int, gram: int):
-    """(first string, strings, anchor hash) of each run of strings with one anchor."""
+    """(first string, strings, anchor, hash with the right side, hash with the left side) of each run of strings with one anchor.
+
+    A side that the text cuts short has the hash 0. Least hashes crowd low values, so anchors are mixed again.
+    """
     if len(raw) < width:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 3
     place, h = anchors(raw, width, gram)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return first, np.diff(np.append(first, len(place))), h[place[first]]
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id and text of ``docs``, stored once with a number for each row."""
-    return stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")))
+    at = place[first]
+    side = min(SIDE, (width - gram) // 2 // gram)
+    sides = []
+    with np.errstate(over="ignore"):
+        for step in (gram, -gram):
+            key, inside = h[at], np.ones(len(at), bool)
+            for k in range(1, side + 1):
+                to = at + k * step
+                inside &= (to >= 0) & (to < len(h))
+                key = key * ODD + h[np.clip(to, 0, len(h) - 1)]
+            sides.append(np.where(inside, mix(key + np.uint64(abs(step) + (step < 0))) >> np.uint64(8) | np.uint64(1), np.uint64(0)))
+        return first, np.diff(np.append(first, len(place))), mix(h[at] + ODD), *sides
 
 
 def _in_chunks(limit: int, make):
@@ -112,18 +125,19 @@ def _by_bucket(keys: np.ndarray, buckets: int):
 
 def anchor_counts(buckets: int, width: int, gram: int):
     def make(chunk, held):
-        rows, firsts, counts, keys = [], [], [], []
+        rows, firsts, counts, rights, lefts = [], [], [], [], []
         for row, raw, *_ in held:
-            first, count, key = fragments(np.frombuffer(raw, np.uint8), width, gram)
+            first, count, _, right, left = fragments(np.frombuffer(raw, np.uint8), width, gram)
             rows.append(np.full(len(first), row))
             firsts.append(first)
             counts.append(count)
-            keys.append(key)
-        row, first, count, key = map(np.concatenate, (rows, firsts, counts, keys))
-        order = np.argsort(key, kind="stable")
-        known, times = np.unique(key, return_counts=True)
-        yield "places", chunk, [pack_sorted(key[order]), pack(row[order]), pack(first[order].astype(np.uint32)), pack(count[order].astype(np.uint32))]
-        for bucket, i, j in _by_bucket(known, buckets):
+            rights.append(right)
+            lefts.append(left)
+        row, first, count, right, left = map(np.concatenate, (rows, firsts, counts, rights, lefts))
+        yield "places", chunk, [pack(row), pack(first.astype(np.uint32)), pack(count.astype(np.uint32)), pack(right), pack(left)]
+        both = np.concatenate((right, left))
+        known, times = np.unique(both[both > 0], return_counts=True)
+        for bucket, i, j in _by_bucket(known << np.uint64(8), buckets):
             yield "anchors", bucket, [np.int64(chunk).tobytes(), pack_sorted(known[i:j]), pack(times[i:j] > 1)]
 
     return make
@@ -153,21 +167,24 @@ def _wanted(key, table):
     if not repeated:
         return pa.Table.from_pylist([], ASKED)
     repeated = np.sort(np.concatenate(repeated))
-    keys, row, first, count = next(d for k, d in zip(kinds, data) if k == "places")
-    keys, row, first, count = unpack_sorted(keys, np.uint64), unpack(row, np.int64), unpack(first, np.uint32), unpack(count, np.uint32)
-    at = np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)
-    own = np.flatnonzero(repeated[at] == keys)
+    row, first, count, *sides = next(d for k, d in zip(kinds, data) if k == "places")
+    row, first, count = unpack(row, np.int64), unpack(first, np.uint32), unpack(count, np.uint32)
+    again = np.zeros(len(row), bool)
+    for side in sides:
+        side = unpack(side, np.uint64)
+        again |= repeated[np.minimum(np.searchsorted(repeated, side), len(repeated) - 1)] == side
+    own = np.flatnonzero(again)
     own = own[np.lexsort((first[own], row[own]))]
     edges = [0, *(np.flatnonzero(np.diff(row[own])) + 1).tolist(), len(own)]
     out = []
     for i, j in zip(edges, edges[1:]):
         if i < j:
             mine = own[i:j]
-            out.append({"row": int(row[mine[0]]), "wanted": [first[mine].tobytes(), count[mine].tobytes(), keys[mine].tobytes()]})
+            out.append({"row": int(row[mine[0]]), "wanted": [first[mine].tobytes(), count[mine].tobytes()]})
     return pa.Table.from_pylist(out, ASKED)
 
 
-def cut_fragments(buckets: int, width: int):
+def cut_fragments(buckets: int, width: int, gram: int):
     """Of each chunk of documents: its distinct fragments to their buckets, and where they lie."""
 
     def make(chunk, held):
@@ -175,7 +192,8 @@ def cut_fragments(buckets: int, width: int):
         rows, firsts, which, counts = [], [], [], []
         for row, raw, wanted in held:
             first, count = np.frombuffer(wanted[0], np.uint32).tolist(), np.frombuffer(wanted[1], np.uint32).tolist()
-            for a, n, k in zip(first, count, np.frombuffer(wanted[2], np.uint64).tolist()):
+            begins, _, anchor, *_ = fragments(np.frombuffer(raw, np.uint8), width, gram)
+            for a, n, k in zip(first, count, anchor[np.searchsorted(begins, first)].tolist()):
                 at = known.setdefault((k, raw[a : a + n + width - 1]), len(known))
                 if at == len(counts):
                     counts.append(0)
@@ -282,8 +300,9 @@ def place_runs(width: int):
     return place
 
 
-def spans(rows: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
-    """row, begins and ends of the byte spans that go, of every row (of :func:`numbered`) that loses any."""
+def spans(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
+    """row, spans (lists of begins and ends) of the bytes that go, of every document (by its key) that loses any."""
+    rows = docs.select(document_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     gram = min(GRAM, 1 << (width.bit_length() - 2))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counting = _in_chunks(chunk_bytes, anchor_counts(1 + size // bucket_bytes, width, gram))
@@ -291,11 +310,11 @@ def spans(rows: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, b
     repeated = counted.filter("kind = 'anchors'").groupBy("key").applyInArrow(_repeated, ROWS)
     asked = counted.filter("kind = 'places'").union(repeated).groupBy("key").applyInArrow(_wanted, "row long, wanted array<binary>")
     having = rows.join(stored(asked), "row").select("row", "text", "wanted")
-    cutting = _in_chunks(chunk_bytes, cut_fragments(1 + size // shard_bytes, width))
+    cutting = _in_chunks(chunk_bytes, cut_fragments(1 + size // shard_bytes, width, gram))
     cut = stored(having.mapInArrow(cutting, ROWS), "kind").select("kind", "key", "data")
     runs = cut.filter("kind = 'fragments'").groupBy("key").applyInArrow(sort_shard(width, memory), ROWS)
     placed = cut.filter("kind = 'places'").union(runs).groupBy("key").applyInArrow(place_runs(width), "row long, begins array<long>, ends array<long>")
-    return stored(placed)
+    return stored(placed.groupBy("row").agg(F.collect_list(F.struct("begins", "ends")).alias("spans")))
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -303,18 +322,18 @@ KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, keep_bytes: bool = True, **options) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_bytes``, the remaining bytes as ``kept``."""
-    rows = numbered(docs)
-    joined = rows.join(spans(rows, width, **options), "row", "left").select(F.col("doc_id").cast("long"), "text", "begins", "ends")
+    rows = docs.select("doc_id", document_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = rows.join(spans(docs, width, **options), "row", "left").select(F.col("doc_id").cast("long"), "text", "spans")
     fields = [f for f in KEPT if keep_bytes or f.name != "kept"]
 
     def cut(batches):
         for batch in batches:
             out = []
-            for doc_id, text, begins, ends in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, found in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode("utf-8", "surrogatepass")
-                begins, ends = begins or [], ends or []
-                kept = b"".join(raw[a:b] for a, b in zip([0, *ends], [*begins, len(raw)]))
-                out.append((doc_id, len(raw), len(raw) - len(kept), len(begins), hashlib.sha256(kept).hexdigest(), kept))
+                gone = merged([x for part in found or [] for x in zip(part["begins"], part["ends"])])
+                kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(raw)]))
+                out.append((doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out)) if out else [[]] * len(KEPT)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, KEPT) if f in fields], schema=pa.schema(fields))
 
