@@ -215,6 +215,7 @@ def cut_fragments(buckets: int, width: int, gram: int):
                     pack(np.array(own, np.uint32)),
                     pack(np.array([counts[x] for x in own], np.uint32)),
                     pack(np.array([len(t) for t in texts], np.uint32)),
+                    pack_sorted(keys[i:j]),
                     zstandard.ZstdCompressor(level=3).compress(b"".join(texts)),
                 ],
             )
@@ -227,15 +228,16 @@ def sort_shard(width: int, memory: int):
 
     def sort(key, table):
         known: dict[bytes, int] = {}
-        times, users = [], []
-        for chunk, own, counts, sizes, data in table.column("data").to_pylist():
+        times, users, of = [], [], []
+        for chunk, own, counts, sizes, anchors, data in table.column("data").to_pylist():
             data = zstandard.ZstdDecompressor().decompress(data)
             ends = np.cumsum(unpack(sizes, np.uint32).astype(np.int64)).tolist()
             which = []
-            for a, b, n in zip([0, *ends], ends, unpack(counts, np.uint32).tolist()):
+            for a, b, n, anchor in zip([0, *ends], ends, unpack(counts, np.uint32).tolist(), unpack_sorted(anchors, np.uint64).tolist()):
                 at = known.setdefault(data[a:b], len(known))
                 if at == len(times):
                     times.append(0)
+                    of.append(anchor)
                 times[at] += n
                 which.append(at)
             users.append((int(np.frombuffer(chunk, np.int64)[0]), unpack(own, np.uint32), np.array(which)))
@@ -243,12 +245,17 @@ def sort_shard(width: int, memory: int):
         sizes = np.array([len(x) for x in strings])
         starts = np.cumsum(sizes + 1) - sizes - 1
         # 0 closes a string; a byte 0 inside one becomes 255, which UTF-8 never holds
-        text = np.frombuffer(b"\0".join(x.replace(b"\0", b"\xff") for x in strings) + b"\0", np.uint8)
+        # an anchor whose fragments all occur twice has only duplicates: there is nothing to find by sorting
+        open_ = {a for a, n in zip(of, times) if n == 1}
+        sorted_ = np.array([a in open_ for a in of], bool)
+        text = np.frombuffer(b"".join(x.replace(b"\0", b"\xff") + b"\0" for x, s in zip(strings, sorted_) if s), np.uint8)
         places, common = suffix_order(text, width, memory)
-        twice = np.zeros(len(text), bool)
         near = np.flatnonzero(common >= width)
-        twice[places[near]] = True
-        twice[places[near - 1]] = True
+        found = np.zeros(len(text), bool)
+        found[places[near]] = True
+        found[places[near - 1]] = True
+        twice = np.zeros(int((sizes + 1).sum()), bool)
+        twice[np.repeat(sorted_, sizes + 1)] = found
         for x in np.flatnonzero(np.array(times) > 1).tolist():
             twice[starts[x] : starts[x] + sizes[x] - width + 1] = True
         steps = np.diff(np.concatenate(([False], twice, [False])).astype(np.int8))
