@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,15 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in local tests, a temporary folder takes its place.
+    Only in local mode, as in tests, a temporary folder takes its place where the setting is missing: on
+    a cluster executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Frees the shuffle files of a finished write, which is never run again: its rows are read from the table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: computed once, safe from lost executors."""
     spark = df.sparkSession
@@ -36,8 +45,22 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -68,3 +91,67 @@ def pack_sorted(values: np.ndarray) -> bytes:
 
 def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
+
+
+#: Rows that a chunk, or a group of merged chunks, is dealt into at once.
+FAN = 1024
+PACKED = "kind string, key long, source long, data array<binary>"
+PACKED_ARROW = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("source", pa.int64()), ("data", pa.list_(pa.binary()))])
+
+
+class Packed:
+    """Arrays of one length, the first a sorted 64-bit hash, in a row per bucket of that hash.
+
+    ``kinds`` are the dtypes; those ending in ``d`` are stored as differences. Buckets are equal ranges
+    of the hash. Chunks deal into at most FAN buckets at first; where there are more, the rows of FAN chunks
+    are merged and dealt on, so rows grow with the data and not with its square.
+    """
+
+    def __init__(self, kind: str, *kinds: str):
+        self.kind = kind
+        self.kinds = [(k.rstrip("d"), k.endswith("d")) for k in kinds]
+
+    def pack(self, arrays) -> list[bytes]:
+        return [pack_sorted(np.ascontiguousarray(x, k)) if delta else pack(np.ascontiguousarray(x, k)) for x, (k, delta) in zip(arrays, self.kinds)]
+
+    def unpack(self, data: list[bytes]) -> list[np.ndarray]:
+        return [unpack_sorted(x, k) if delta else unpack(x, k) for x, (k, delta) in zip(data, self.kinds)]
+
+    def gather(self, rows: list[list[bytes]]) -> list[np.ndarray]:
+        parts = [self.unpack(r) for r in rows]
+        return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, k) for k, _ in self.kinds]
+
+    def deal(self, arrays, buckets: int, source: int):
+        """A row per bucket of arrays sorted by their first."""
+        which = ((arrays[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)]
+        for i, j in zip(edges, edges[1:]):
+            if i < j:
+                yield {"kind": self.kind, "key": int(which[i]), "source": source, "data": self.pack([x[i:j] for x in arrays])}
+
+    @staticmethod
+    def counts(size: int, bucket_bytes: int) -> tuple[int, int]:
+        """(buckets that chunks deal into, buckets in the end) for ``size`` bytes."""
+        buckets = 1 + size // bucket_bytes
+        first = min(buckets, FAN)
+        return first, -(-buckets // first) * first
+
+    def refined(self, rows: DataFrame, first: int, buckets: int, chunks: int) -> DataFrame:
+        """Rows of ``first`` buckets dealt on into ``buckets``; rows with a key below 0 stay as they are."""
+        while first < buckets:
+            wider = min(first * FAN, buckets)
+            wider -= wider % first
+            rows = rows.withColumn("part", F.pmod("source", F.lit(1 + chunks // FAN))).groupBy("key", "part").applyInArrow(self._split(wider), PACKED)
+            first = wider
+        return rows
+
+    def _split(self, buckets: int):
+        def split(key, table):
+            if key[0].as_py() < 0:
+                return table.select(PACKED_ARROW.names)
+            arrays = self.gather(table.column("data").to_pylist())
+            order = np.argsort(arrays[0], kind="stable")
+            rows = list(self.deal([x[order] for x in arrays], buckets, key[1].as_py()))
+            return pa.Table.from_pylist(rows, PACKED_ARROW)
+
+        return split
