@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.scratch import release, scratch_dir, stored  # noqa: F401
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -19,50 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors (``spark.checkpoint.dir``).
-
-    Only in local mode, as in tests, a temporary folder takes its place where the setting is missing: on
-    a cluster executors would write to their own disks.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Frees the shuffle files of a finished write, which is never run again: its rows are read from the table.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        writer.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables made by :func:`stored` that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}
