@@ -5,8 +5,9 @@ it knows the longest run ending there that some item holds. Where that is ``wind
 last ``window`` words are hit, and the state reached names the items. An item shorter than a window is
 hit where it occurs whole.
 
-Items are read in blocks of at most ``block_words`` words, an automaton each; the blocks' passes follow
-one another over the same rows without a shuffle, so memory is bounded however many items there are.
+Items are read in blocks of about ``block_words`` words, an automaton each. Tasks get a block's items and build
+its automaton themselves, once per worker. Blocks' passes run one after another, so a worker holds one
+automaton of at most some 2 million states of 24 bytes, however many items there are.
 
 Words: lower-cased A-Z, then maximal runs of ASCII letters, digits and non-ASCII characters.
 
@@ -17,7 +18,11 @@ nothing; repeated rows are each judged; other columns are carried by :func:`hits
 
 from __future__ import annotations
 
-import hashlib
+import dataclasses
+import functools
+import itertools
+import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import free_name
+from tessella.llm.common import free_name, stored
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -43,76 +48,100 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over words. State 0 is the empty run."""
+    """Generalised suffix automaton over words, in flat arrays. State 0 is the empty run.
+
+    Most states go on with one word only, so a state's first step is a number in an array; further steps are in
+    a dictionary that only states have where runs part. A state takes 24 bytes and a word of the vocabulary a
+    dictionary entry.
+    """
 
     def __init__(self, items, window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.step: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
+        self.word, self.to = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         self.ids: list[str] = []
         self.least = window
-        owners: list[set[int]] = [set()]
-        self.short: dict[int, list[tuple[int, int]]] = {}
-        short = []
+        texts = []
         for item_id, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if not words:
-                continue
-            own = len(self.ids)
-            self.ids.append("" if item_id is None else str(item_id))
-            last = 0
-            for w in words:
-                last = self._extend(last, w)
-                while len(owners) < len(self.step):
-                    owners.append(set())
-                owners[last].add(own)
+            words = array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)])
+            if words:
+                self.ids.append("" if item_id is None else str(item_id))
+                texts.append(words)
+                last = 0
+                for w in words:
+                    last = self._extend(last, w)
+        self._settle(texts)
+
+    def _settle(self, texts) -> None:
+        """The states that stand for windows, and the items in each; the states that end short items."""
+        n, window = len(self.link), self.window
+        order = np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist()
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        self.owners: dict[int, set[int]] = {}
+        #: of a state of window words or more, the state of its last ``window`` words
+        self.top = array("i", bytes(4 * n))
+        for state in order[1:]:
+            if self.length[state] >= window:
+                above = self.link[state]
+                self.top[state] = self.top[above] if self.length[above] >= window else state
+        for own, words in enumerate(texts):
+            state = 0
+            for k, w in enumerate(words, 1):
+                state = self.step(state, w)
+                if k >= window:
+                    self.owners.setdefault(self.top[state], set()).add(own)
             if len(words) < window:
-                short.append((own, words))
+                self.short.setdefault(state, []).append((len(words), own))
                 self.least = min(self.least, len(words))
-        for own, words in short:
-            state = 0
-            for w in words:
-                state = self.step[state][w]
-            self.short.setdefault(state, []).append((len(words), own))
-        for state in sorted(range(1, len(self.step)), key=self.length.__getitem__, reverse=True):
-            if self.length[self.link[state]] >= window:
-                owners[self.link[state]] |= owners[state]
-        self.owners = [frozenset(x) if n >= window else frozenset() for x, n in zip(owners, self.length)]
         #: nearest state at or above each on the suffix links that ends a short item
-        self.ends = [0] * len(self.step)
-        for state in sorted(range(1, len(self.step)), key=self.length.__getitem__):
-            self.ends[state] = state if state in self.short else self.ends[self.link[state]]
+        self.ends = array("i", bytes(4 * n))
+        if self.short:
+            for state in order[1:]:
+                self.ends[state] = state if state in self.short else self.ends[self.link[state]]
+
+    def step(self, state: int, w: int) -> int:
+        """The state after another word; -1 where there is none."""
+        if self.word[state] == w:
+            return self.to[state]
+        further = self.more.get(state)
+        return further.get(w, -1) if further else -1
+
+    def _put(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
 
-    def _new(self, length: int, link: int, step: dict[int, int]) -> int:
+    def _new(self, length: int, link: int, like: int | None = None) -> int:
         self.length.append(length)
         self.link.append(link)
-        self.step.append(step)
-        return len(self.step) - 1
+        self.word.append(-1 if like is None else self.word[like])
+        self.to.append(0 if like is None else self.to[like])
+        if like is not None and like in self.more:
+            self.more[len(self.link) - 1] = dict(self.more[like])
+        return len(self.link) - 1
 
     def _extend(self, last: int, w: int) -> int:
-        step, link, length = self.step, self.link, self.length
-        known = step[last].get(w)
-        if known is not None and length[known] == length[last] + 1:
-            return known
-        if known is not None:
-            return self._split(last, w, known)
-        state = self._new(length[last] + 1, 0, {})
+        link, length = self.link, self.length
+        known = self.step(last, w)
+        if known >= 0:
+            return known if length[known] == length[last] + 1 else self._split(last, w, known)
+        state = self._new(length[last] + 1, 0)
         at = last
-        while at >= 0 and w not in step[at]:
-            step[at][w] = state
+        while at >= 0 and (known := self.step(at, w)) < 0:
+            self._put(at, w, state)
             at = link[at]
         if at >= 0:
-            known = step[at][w]
             link[state] = known if length[known] == length[at] + 1 else self._split(at, w, known)
         return state
 
     def _split(self, at: int, w: int, known: int) -> int:
-        copy = self._new(self.length[at] + 1, self.link[known], dict(self.step[known]))
+        copy = self._new(self.length[at] + 1, self.link[known], known)
         self.link[known] = copy
-        while at >= 0 and self.step[at].get(w) == known:
-            self.step[at][w] = copy
+        while at >= 0 and self.step(at, w) == known:
+            self._put(at, w, copy)
             at = self.link[at]
         return copy
 
@@ -129,23 +158,26 @@ class Automaton:
         return spans, items
 
     def _run(self, run: list[int], first: int, spans: list, items: set) -> None:
-        step, link, length, window, ends = self.step, self.link, self.length, self.window, self.ends
+        word, to, more, link, length, window, ends = self.word, self.to, self.more, self.link, self.length, self.window, self.ends
         state = n = 0
         for at, w in enumerate(run, first + 1):
-            follow = step[state].get(w)
-            while follow is None and state:
+            while True:
+                if word[state] == w:
+                    follow = to[state]
+                else:
+                    further = more.get(state)
+                    follow = further.get(w, -1) if further else -1
+                if follow >= 0 or not state:
+                    break
                 state = link[state]
                 n = length[state]
-                follow = step[state].get(w)
-            if follow is None:
+            if follow < 0:
                 continue
             state, n = follow, n + 1
             hit = 0
             if n >= window:
-                hit, top = window, state
-                while length[link[top]] >= window:
-                    top = link[top]
-                items |= self.owners[top]
+                hit = window
+                items |= self.owners[self.top[state]]
             end = ends[state]
             while end:
                 for size, own in self.short[end]:
@@ -172,44 +204,78 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield block
 
 
+@functools.lru_cache(maxsize=1)
+def _built(shared: Block) -> Automaton:
+    """A worker keeps the automaton of one block at a time."""
+    return Automaton(shared.items, shared.window)
+
+
+@dataclasses.dataclass(frozen=True)
+class Block:
+    """Items of at most ``block_words`` words, as they are sent to tasks; told apart by their name."""
+
+    name: str
+    window: int = dataclasses.field(compare=False)
+    items: list = dataclasses.field(compare=False)
+
+
+HIT = "struct<n_words:bigint,begins:array<bigint>,ends:array<bigint>,items:array<string>>"
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with a struct column ``hit``: n_words, begins and ends of merged spans in words, items (sorted ids).
 
-    Without ``keep_text`` the last pass leaves the text out.
+    Without ``keep_text`` the result leaves the text out. One block, the usual case, is one pass over the rows. Of
+    several each is a pass of its own that stores the hits of the documents it hits; these are merged by document and joined at the end.
     """
     name = free_name(docs, "hit")
-    out = docs.withColumn(name, F.lit(None).cast("struct<n_words:bigint,begins:array<bigint>,ends:array<bigint>,items:array<string>>"))
+    context = docs.sparkSession.sparkContext
     blocks = _blocks(benchmark, block_words)
-    block = next(blocks, [])
-    while block is not None:
-        following = next(blocks, None)
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
-        out = _pass(out, shared, name, keep_text or following is not None)
-        block = following
-    return out
+    share = lambda items: context.broadcast(Block(uuid.uuid4().hex, window, items))
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _pass(docs, share(first), name, keep_text)
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, F.md5("text"))
+    parts = []
+    for items in itertools.chain((first, second), blocks):
+        shared = share(items)
+        found = _pass(keyed.select(F.col(key).alias("key"), "text").filter("text is not null"), shared, "hit", False)
+        parts.append(stored(found.filter("size(hit.begins) > 0").dropDuplicates(["key"])))
+        shared.destroy()
+    lists = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.collect_list("hit").alias("found"))
+
+    @F.udf(HIT, useArrow=True)
+    def joined(n_words, found):
+        spans = merged([x for f in found or [] for x in zip(f["begins"], f["ends"])])
+        items = sorted({i for f in found or [] for i in f["items"]})
+        return {"n_words": n_words, "begins": [a for a, _ in spans], "ends": [b for _, b in spans], "items": items}
+
+    count, list_ = free_name(keyed, "words"), free_name(keyed, "found")
+    counted = _pass(keyed, share([]), count, keep_text)
+    out = counted.join(lists.select(F.col("key").alias(key), F.col("found").alias(list_)), key, "left")
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    return out.select(*kept, joined(F.col(f"{count}.n_words"), list_).alias(name))
 
 
 def _pass(docs: DataFrame, shared, name: str, keep_text: bool) -> DataFrame:
-    text_at, hit_at = docs.columns.index("text"), docs.columns.index(name)
+    """``docs`` with the hits of one block in a last column."""
+    text_at = docs.columns.index("text")
     kept = [i for i in range(len(docs.columns)) if keep_text or i != text_at]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(name, T.StructType.fromDDL(f"hit {HIT}")["hit"].dataType)])
 
     def scan(batches):
-        automaton = shared.value
+        automaton = _built(shared.value)
+        of = pa.struct([("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
         for batch in batches:
             found = []
-            for text, before in zip(batch.column(text_at).to_pylist(), batch.column(hit_at).to_pylist()):
+            for text in batch.column(text_at).to_pylist():
                 words = words_of(text)
                 spans, items = automaton.match(words)
-                ids = {automaton.ids[i] for i in items}
-                if before:
-                    spans = merged([*spans, *zip(before["begins"], before["ends"])])
-                    ids |= set(before["items"])
-                found.append({"n_words": len(words), "begins": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted(ids)})
-            columns = [*batch.columns]
-            columns[hit_at] = pa.array(found, batch.schema.field(hit_at).type)
-            yield pa.RecordBatch.from_arrays([columns[i] for i in kept], schema=pa.schema([batch.schema.field(i) for i in kept]))
-
-    return docs.mapInArrow(scan, T.StructType([docs.schema.fields[i] for i in kept]))
+                found.append({"n_words": len(words), "begins": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted({automaton.ids[i] for i in items})})
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, of)], names=[*(batch.schema.names[i] for i in kept), name])
+
+    return docs.mapInArrow(scan, schema)
 
 
 def merged(spans):
