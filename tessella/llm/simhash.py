@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import free_name, stored
+from tessella.llm.common import free_name, release, stored
 from tessella.llm.components import components
 
 SHINGLE = 3
@@ -186,16 +186,66 @@ def report(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id (where that repeats, the longest text).
+#: Of the stage that keeps one text of each group: bits that candidates may differ in, blocks, words of a shingle, least similarity.
+WIDE_DISTANCE, WIDE_BLOCKS = 5, 9
+EXACT_SHINGLE, SIMILARITY = 5, 0.8
+#: Keys that the pairs of one text are dealt over.
+SALTS = 64
 
-    Rows are numbered as they are written; the number stands for a row where ids repeat or are null.
+
+def shingle_set(text: str | None, shingle: int = EXACT_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; of fewer words than a shingle, of them all."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    count = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle])) for i in range(count)), np.uint64, count))
+
+
+def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) whose texts (fp, text) have a Jaccard similarity of ``similarity`` or more on five-word shingles. Each text is cut once."""
+
+    def cut(batches):
+        for batch in batches:
+            sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    linked = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = stored(texts.join(linked, "fp").select("fp", "text").mapInArrow(cut, "fp long, shingles binary"))
+    side = lambda e, c: sets.select(F.col("fp").alias(e), F.col("shingles").alias(c))
+    # a text with very many links is dealt over SALTS keys, each with its own copy of it
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    copies = side("a", "x").join(salted.select("a", "salt").distinct(), "a")
+    salted = salted.withColumn("turn", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    others = side("b", "y").join(salted.select("b", "turn").distinct(), "b")
+    both = salted.join(copies, ["a", "salt"]).join(others, ["b", "turn"]).select("a", "b", "x", "y")
+    out = stored(both.mapInArrow(compare, "a long, b long"))
+    release(sets)
+    return out
+
+
+def deduplicated(docs: DataFrame, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id (where that repeats, the longest text).
+
+    Texts of equal fingerprints are one group; those whose fingerprints differ in at most ``distance`` bits join it where their
+    five-word shingles are similar enough. Rows are numbered as they are written; the number stands for a row
+    where ids repeat or are null.
     """
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", F.length(F.coalesce("text", F.lit(""))).alias("size"))
     prints = stored(fingerprinted(packed, keep_text=False).withColumn("number", F.expr("uuid()")))
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), (-F.col("size")).alias("size"), "number")
     best = stored(prints.groupBy("fp").agg(F.min(rank).alias("rank")))
-    roots = classes(best)
+    near = links(best.select("fp"), distance, blocks).distinct()
+    texts = prints.join(best.select(F.col("rank.number").alias("number")), "number", "left_semi").select("fp", F.col("row.text").alias("text"))
+    roots = components(verified(near, texts, similarity))
     rooted = best.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("rank", F.coalesce("root", "fp").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.number").alias("number"))
     return prints.join(keep, "number", "left_semi").select("row.*")

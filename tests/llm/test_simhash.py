@@ -101,3 +101,24 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.report(empty).count() == 0
     assert simhash.deduplicated(empty).count() == 0
+
+
+def test_the_stage_keeps_one_of_similar_texts_and_both_of_unlike_ones(spark):
+    rnd = random.Random(31)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows, pairs = [], []
+    for k in range(60):
+        base = [word() for _ in range(400)]
+        close = list(base)
+        close[200] = "changed"
+        far = base[:40] + [word() for _ in range(360)]
+        rows += [(3 * k, " ".join(base), "x"), (3 * k + 1, " ".join(close), "x"), (3 * k + 2, " ".join(far), "x")]
+        pairs.append((3 * k, 3 * k + 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame).collect()}
+    assert all(a in kept for a, _ in pairs) and all(i in kept for i in range(2, 180, 3))
+    assert sum(b in kept for _, b in pairs) <= 6  # one change in 400 words is within five bits nearly always
+    # the same edges, judged on the shingles themselves
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    texts = spark.createDataFrame([(1, rows[0][1]), (2, rows[1][1]), (3, rows[2][1])], "fp long, text string")
+    assert [tuple(r) for r in simhash.verified(edges, texts).collect()] == [(1, 2)]
