@@ -7,11 +7,15 @@ are bases or versions, and events are decisions in a log.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import anchors, continuity, diff, edges, lineage, overlay, resolve, segments, validate, verify
+from tessella.operators import anchors, compare, continuity, decisions, diff, edges, identity, lineage, opening, overlay, resolve, segments, validate, verify
+from tessella.plans import ingest as ingesting
+from tessella.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,8 +87,9 @@ def edge_aggregate(spark, d):
     + ") group by all"
 )
 def edge_by_basis(spark, d):
-    found = pairs_of(read(spark, d, "lineitem"), "l_returnflag")
-    return found.groupBy("source", "target", F.col("l_returnflag").alias("weight_basis")).agg(F.count("*").alias("weight"))
+    lines = read(spark, d, "lineitem")
+    of = [edges.aggregate_claims(claims_of(lines.filter(F.col("l_returnflag") == flag)), flag) for flag in ("A", "N", "R")]
+    return reduce(DataFrame.unionByName, of).select("source", "target", "weight_basis", "weight")
 
 
 @query(
@@ -314,16 +319,24 @@ def segment_lines(spark, d):
     return segments.lines(read(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), long(F.max(F.length("line"))).alias("longest"))
 
 
-@query()
+PACK = """with recursive p as ({pieces}),
+ w as (select doc_id, pos, 0::bigint as window_index, start as opened from p where pos = (select min(pos) from p as q where q.doc_id = p.doc_id)
+  union all select p.doc_id, p.pos, case when p."end" - w.opened <= {target} then w.window_index else w.window_index + 1 end, case when p."end" - w.opened <= {target} then w.opened else p.start end
+  from w join p on p.doc_id = w.doc_id and p.pos = w.pos + 1)
+ select doc_id, window_index, min(p.start)::bigint as start, max(p."end")::bigint as "end", min(pos)::bigint as first, max(pos)::bigint as last from w join p using (doc_id, pos) group by all"""
+TURNS = """select conv_id as doc_id, turn::bigint as pos, (sum(length(text)) over v - length(text))::bigint as start, (sum(length(text)) over v)::bigint as "end" from conversations window v as (partition by conv_id order by turn)"""
+
+
+@query(PACK.format(pieces=f'select doc_id, pos, start, "end" from ({LINES})', target=2000))
 def window_pack(spark, d):
     return segments.windows(segments.lines(read(spark, d, "documents").select("doc_id", "text")), 2000)
 
 
-@query()
+@query(PACK.format(pieces=TURNS, target=1500))
 def conversation_windows(spark, d):
     from pyspark.sql.window import Window
 
-    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.length("text").alias("n"))
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), long("turn").alias("pos"), F.length("text").alias("n"))
     end = F.sum("n").over(Window.partitionBy("doc_id").orderBy("pos"))
     return segments.windows(turns.select("doc_id", "pos", (end - F.col("n")).alias("start"), end.alias("end")), 1500)
 
@@ -456,7 +469,7 @@ def reanchor_fuzzy(spark, d):
     quotes, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
     found = verify.found_in(quotes, docs).select("item_id", "doc_id")
     words = F.split("q", " ")
-    altered = quotes.select("item_id", X.normalise_whitespace(F.col("text")).alias("q")).select("item_id", F.concat_ws(" ", F.slice(words, 1, 2), F.lit("altered"), F.slice(words, 4, 10_000)).alias("exact"))
+    altered = quotes.select("item_id", X.normalise_whitespace(F.col("text")).alias("q")).select("item_id", F.concat_ws(" ", F.slice(words, 1, 2), F.lit("altered"), F.filter(words, lambda w, i: i > 2)).alias("exact"))
     rows = found.join(altered, "item_id").join(docs.select("doc_id", X.normalise_whitespace(F.col("text")).alias("text")), "doc_id")
     asked = rows.withColumns({"prefix": F.lit(""), "suffix": F.lit(""), "hint": F.lit(None).cast("int")})
     return anchors.reanchored(asked).select("item_id", "doc_id", "anchor.*")
@@ -470,23 +483,28 @@ def doc_similarity(spark, d):
     return continuity.revision_proposals(docs.select(F.col("item_id").alias("ord"), path.alias("path"), F.col("text").alias("content")))
 
 
-@query("""with t(form) as (values ('the'), ('der'), ('que')), p as (select form, source, lang, count(*) as n from documents, t where regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || form || '($|[^\\p{L}\\p{N}_])') group by all),
+FIRST_WORDS = "select distinct regexp_extract(lower(text), '[a-z]+') as form from benchmark where regexp_extract(lower(text), '[a-z]+') <> ''"
+
+
+@query(f"""with t as ({FIRST_WORDS}), p as (select form, source, lang, count(*) as n from documents, t where regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || form || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') group by all),
  b as (select form, list_sort(list(distinct source)) as was from p where lang in ('en', 'fr') group by 1), a as (select form, list_sort(list(distinct source)) as now from p where lang in ('de', 'fr') group by 1)
  select form, array_to_string(list_sort(list_filter(was, lambda x: not list_contains(now, x))), ',') as retired, array_to_string(now, ',') as remaining from a join b using (form) where len(list_filter(was, lambda x: not list_contains(now, x))) > 0""")
 def stale_terms(spark, d):
     docs = read(spark, d, "documents").select("lang", F.col("source").alias("path"), F.col("text").alias("content"))
-    forms = spark.createDataFrame([("the",), ("der",), ("que",)], "form string")
+    forms = read(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("form")).distinct().filter("form <> ''")
     before, after = (continuity.presence(forms, docs.filter(F.col("lang").isin(*langs))) for langs in (("en", "fr"), ("de", "fr")))
     found = continuity.stale_names(before, after)
     return found.select("form", F.array_join("retired", ",").alias("retired"), F.array_join("remaining", ",").alias("remaining"))
 
 
-@query("select page_id::bigint as page_id, case when page_id % 4 = 0 then 1 else 0 end::bigint as n, (length(html) + case when page_id % 4 = 0 then 41 when page_id % 4 = 1 then 122 else 0 end)::bigint as n_chars from pages")
+@query("""select page_id::bigint as page_id, case when page_id % 4 = 0 then 1 else 0 end::bigint as n,
+ sha256(html || case page_id % 4 when 0 then ' image/png left out, 600 bytes of base64> and prose goes on' when 1 then ' data:image/png;base64,' || repeat('A', 100) || ') and prose goes on' else '' end) as text_sha256 from pages""")
 def image_payloads(spark, d):
     pages = read(spark, d, "pages")
-    payload = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("data:image/png;base64,"), F.repeat(F.lit("A"), 600))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("data:image/png;base64,"), F.repeat(F.lit("A"), 100))).otherwise("")
+    uri = lambda n, after: F.concat(F.lit(" data:image/png;base64,"), F.repeat(F.lit("A"), n), F.lit(f"{after} and prose goes on"))
+    payload = F.when(F.col("page_id") % 4 == 0, uri(600, ">")).when(F.col("page_id") % 4 == 1, uri(100, ")")).otherwise("")
     cut = pages.select("page_id", X.without_payloads(F.concat("html", payload)).alias("c"))
-    return cut.select("page_id", "c.n", long(F.length("c.text")).alias("n_chars"))
+    return cut.select("page_id", "c.n", F.sha2(F.col("c.text").cast("binary"), 256).alias("text_sha256"))
 
 
 @query("select event_id::bigint as event_id, json_type(props) as kind, try_cast(props ->> '$.k' as bigint) as k from events")
@@ -494,3 +512,275 @@ def parse_props(spark, d):
     v = F.try_parse_json("props")
     kind = F.when(F.schema_of_variant(v).startswith("OBJECT"), "OBJECT")
     return read(spark, d, "events").select(long("event_id").alias("event_id"), kind.alias("kind"), F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
+@query(f"""with x as ({DIFF.format(a=graph_sql('A'), b=graph_sql('R'))}) select a, b, changes, before_weight, after_weight, after_weight - before_weight as delta, 'text' as attribution, 'orders' as basis from x""")
+def snapshot_diff(spark, d):
+    """Two versions of one work as a whole; all suppliers are in both."""
+    snaps = spark.createDataFrame([("A", "w", "A", "run"), ("R", "w", "R", "run")], "snapshot string, work string, revision string, run string")
+    runs = spark.createDataFrame([("run", *["x"] * len(compare.CONFIGURATION))], "run string, " + ", ".join(f"{c} string" for c in compare.CONFIGURATION))
+    links = [graph(spark, d, flag).withColumn("snapshot", F.lit(flag)) for flag in ("A", "R")]
+    key = long("s_suppkey")
+    nodes = read(spark, d, "supplier").select(F.explode(F.array(F.lit("A"), F.lit("R"))).alias("snapshot"), key.alias("ord"), key.alias("id"), key.alias("key"), F.array().cast("array<bigint>").alias("forms"))
+    found = compare.diff_snapshots(snaps, runs, nodes, links[0].unionByName(links[1]), "A", "R")
+    return found.edges.select("a", "b", F.array_join("changes", ",").alias("changes"), "before_weight", "after_weight", "delta", F.lit(found.attribution).alias("attribution"), F.lit(found.basis).alias("basis"))
+
+
+@query("""with o as (select o_orderkey::bigint as k, year(o_orderdate) as r, o_orderpriority as p, case when left(o_orderpriority, 1) in ('1', '2') then 'big' when left(o_orderpriority, 1) = '3' then null else 'small' end as c from orders)
+ select a.k as before, b.k as after, case when a.r <> b.r and coalesce(a.c, a.p) <> coalesce(b.c, b.p) then 'both' when a.r <> b.r then 'text' when coalesce(a.c, a.p) <> coalesce(b.c, b.p) then 'analysis' else 'same' end as attribution
+ from o a join o b on b.k = a.k + 1""")
+def attributed_pairs(spark, d):
+    """Orders as readings of a year's text by a priority's run; two runs are of one configuration, and one run is not recorded."""
+    snaps = read(spark, d, "orders").select(long("o_orderkey").alias("snapshot"), F.year("o_orderdate").alias("revision"), F.col("o_orderpriority").alias("run"))
+    first = F.substr("run", F.lit(1), F.lit(1))
+    runs = snaps.select("run").distinct().filter(first != "3").withColumn("model", F.when(first.isin("1", "2"), "big").otherwise("small"))
+    runs = runs.select("run", "model", *[F.lit("x").alias(c) for c in compare.CONFIGURATION if c != "model"])
+    pairs = snaps.select(F.col("snapshot").alias("before"), (F.col("snapshot") + 1).alias("after"))
+    return compare.attributions(pairs, snaps, runs)
+
+
+BLOCKS = f"""select doc_id, (pos - 1)::int as pos, line, {NORM.format(c='line')} as passage from ({LINES})"""
+
+
+@query(f"""with b as ({BLOCKS}), a as (select doc_id, pos, passage, sum(length(passage) + 1) over (partition by doc_id order by pos) as upto from b where passage <> '')
+ select doc_id, pos, (upto - length(passage) - 1)::bigint as norm_start, (upto - 1)::bigint as norm_end, sha256(passage) as passage_sha256 from a""")
+def addressable_lines(spark, d):
+    """Lines as segments, found by a rule, in the text that joins those with ink."""
+    found = segments.segments(read(spark, d, "documents").select("doc_id", "text"), [("line", r"^", "start")])
+    made = segments.addressable(found)
+    return made.select("doc_id", "pos", "norm_start", "norm_end", F.sha2(F.col("passage").cast("binary"), 256).alias("passage_sha256"))
+
+
+CLAIMS = """select doc_id, 0 as claim, min(pos) as pos, 'q1' as kind from a group by 1 union all select doc_id, 1, min(pos), 'q2' from a group by 1 union all select doc_id, 2, min(pos), 'none' from a group by 1 union all select doc_id, 3, min(pos), 'empty' from a group by 1"""
+
+
+@query(f"""with b as ({BLOCKS}), a as (select doc_id, pos, passage, sum(length(passage) + 1) over (partition by doc_id order by pos) as upto, row_number() over (partition by doc_id order by pos) as nth, count(*) over (partition by doc_id) as n from b where passage <> ''),
+ j as (select doc_id, string_agg(passage, ' ' order by pos) as joined, min(pos) as pos, arg_min(passage, pos) as first, arg_max(passage, pos) as last from a group by 1),
+ c as (select doc_id, 0 as claim, pos, left(first, 12) as q, joined, first from j union all select doc_id, 1, pos, right(last, 25), joined, first from j union all select doc_id, 2, pos, 'zz never said zz', joined, first from j union all select doc_id, 3, pos, ' ', joined, first from j),
+ v as (select doc_id, claim, pos, trim(q) as q, contains(first, trim(q)) as named, strpos(joined, trim(q)) - 1 as at from c)
+ select v.doc_id, v.claim, case when q = '' then 'empty' when named then 'kept' when at >= 0 then 'relocated' else 'not in the source' end as verdict,
+  (case when q <> '' and not named and at >= 0 then (select max(a.pos) from a where a.doc_id = v.doc_id and a.upto - length(a.passage) - 1 <= v.at) else v.pos end)::bigint as pos from v""")
+def verify_claims(spark, d):
+    """Claims that their passage holds, that another passage may hold, that no text holds, and that say nothing."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    passages = segments.addressable(segments.segments(docs, [("line", r"^", "start")]))
+    ends = passages.groupBy("doc_id").agg(F.min("pos").alias("pos"), F.min_by("passage", "pos").alias("first"), F.max_by("passage", "pos").alias("last"))
+    quotes = F.array(F.substr("first", F.lit(1), F.lit(12)), F.expr("right(last, 25)"), F.lit("zz never said zz"), F.lit(" "))
+    claims = ends.select("doc_id", "pos", F.posexplode(quotes).alias("claim", "quotation"))
+    return verify.verify(claims, passages, docs, most_rejected=None).select("doc_id", "claim", "verdict", long("pos").alias("pos"))
+
+
+@query(f"""with b as ({BLOCKS}), e as (select x.doc_id, x.passage as p1, y.passage as p2, array_to_string(string_split(y.passage, ' ')[1:3], ' ') as q from b x join b y on x.doc_id = y.doc_id and x.pos = 0 and y.pos = 1 where y.passage <> ''),
+ f as (select *, strpos(p1, q) as here, strpos(p1 || ' ' || p2, q) as wide from e)
+ select doc_id, here = 0 as widened, (case when here > 0 then here else wide end - 1)::bigint as start, sha256(case when here > 0 then p1 else p1 || ' ' || p2 end) as passage_sha256 from f""")
+def open_passages(spark, d):
+    """Quotations of a second line, opened from the first: they begin after the passage that is named."""
+    found = segments.segments(read(spark, d, "documents").select("doc_id", "text"), [("line", r"^", "start")])
+    second = found.filter("pos = 1").withColumn("p", X.normalise_whitespace(F.col("body"))).filter("p <> ''")
+    exact = F.array_join(F.slice(F.split("p", " "), 1, 3), " ")
+    asked = second.select("doc_id", F.lit(0).alias("item"), F.array(F.lit(1)).alias("path"), exact.alias("exact"))
+    opened = opening.find_passages(asked, found)
+    return opened.select("doc_id", "widened", long("start").alias("start"), F.sha2(F.col("passage").cast("binary"), 256).alias("passage_sha256"))
+
+
+@query("""with m as (select p_partkey as k, p_partkey // 10 * 10 as t from part where p_partkey % 10 in (3, 7) and p_partkey >= 10), e as (select p_partkey as k, case when p_size < 10 then 'unknown' else p_type end as kind from part),
+ g as (select m.t as k, arg_min(e.kind, 'p' || e.k) filter (e.kind <> 'unknown') as kind from m join e on e.k = m.k group by 1), f as (select coalesce(m.t, p_partkey) as k, count(distinct lower(p_name)) as n from part left join m on m.k = p_partkey group by 1)
+ select 'p' || e.k as entity_id, case when e.kind = 'unknown' and g.kind is not null then g.kind else e.kind end as kind, case when m.k is not null then 'p' || m.t end as merged_into, coalesce(case when m.k is null then f.n end, 0)::bigint as n_forms
+ from e left join m on m.k = e.k left join g on g.k = e.k left join f on f.k = e.k""")
+def merged_registry(spark, d):
+    """Parts as entities; of each ten two are merged into the first."""
+    part = read(spark, d, "part")
+    key = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    none = F.lit(None).cast("string")
+    ents = part.select(key(F.col("p_partkey")).alias("entity_id"), F.lit("c").alias("collection_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") < 10, "unknown").otherwise(F.col("p_type")).alias("kind"), none.alias("notes"), F.lit("observed").alias("provenance"), none.alias("review_status"), none.alias("merged_into"))
+    forms = part.select(key(F.col("p_partkey")).alias("entity_id"), F.lit("c").alias("collection_id"), F.lit(0).alias("ord"), F.col("p_name").alias("form"), X.form_key_ascii(F.col("p_name")).alias("form_key"))
+    into = F.expr("cast(p_partkey div 10 * 10 as bigint)")
+    merges = part.filter("p_partkey % 10 in (3, 7) and p_partkey >= 10").select(key(F.col("p_partkey")).alias("from_id"), key(into).alias("to_id"))
+    entities, left = identity.merged_registry(ents, forms, merges)
+    counted = left.groupBy("entity_id").agg(F.count("*").alias("n"))
+    return entities.join(counted, "entity_id", "left").select("entity_id", "kind", "merged_into", F.coalesce("n", F.lit(0)).cast("long").alias("n_forms"))
+
+
+STANDING = "select user_id as id, arg_max(event_type, (ts, event_id)) as t from events group by 1"
+AS_STATUS = "case t when 'click' then 'accepted' when 'error' then 'rejected' when 'view' then 'corrected' else 'proposed' end"
+
+
+@query(f"""with s as (select id, {AS_STATUS} as s from ({STANDING})) select c_custkey::bigint as id, coalesce(s.s, case when c_mktsegment = 'BUILDING' then 'accepted' end, 'proposed') as status, s.s is not null as reviewed from customer left join s on s.id = c_custkey""")
+def review_overlay(spark, d):
+    log = read(spark, d, "events").select(F.lit("character").alias("kind"), long("user_id").cast("string").alias("id"), "ts", "event_id", _status(F.col("event_type")).alias("status"), F.lit(None).cast("string").alias("note"))
+    standing = overlay.latest(log, ["kind", "id"], ["ts", "event_id"])
+    nodes = read(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "accepted").otherwise("unheard of").alias("review_status"))
+    none = nodes.limit(0).select("ord", "id", F.col("id").alias("source"), F.col("id").alias("target"), "review_status")
+    return decisions.review_overlay(decisions.subjects(nodes, none), standing).select(long("id").alias("id"), "status", "reviewed")
+
+
+def _status(kind: Column) -> Column:
+    return F.when(kind == "click", "accepted").when(kind == "error", "rejected").when(kind == "view", "corrected").otherwise("proposed")
+
+
+@query(f"""with s as (select id, {AS_STATUS} as s from ({STANDING})), r as (select event_id::bigint as event_id, user_id as id, {AS_STATUS.replace('case t', 'case event_type')} as st, case when event_id % 4 = 0 then 'why' end as note, event_id % 9 = 0 as odd from events),
+ k as (select c_custkey as id from customer where c_custkey % 3 <> 0)
+ select event_id, case when odd then 'not a status' when k.id is null then 'not in the snapshot' when r.st = 'corrected' and note is null then 'says nothing about what is corrected' when s.s = r.st and note is null then 'stands' else 'recorded' end as outcome
+ from r left join k on k.id = r.id left join s on s.id = r.id""")
+def recorded_reviews(spark, d):
+    """Events as requests for reviews of the customers of a snapshot."""
+    ev = read(spark, d, "events")
+    status = F.when(F.col("event_id") % 9 == 0, "nice").otherwise(_status(F.col("event_type")))
+    none = F.lit(None).cast("string")
+    asked = ev.select(long("event_id").alias("event_id"), F.lit("character").alias("kind"), F.col("user_id").cast("string").alias("id"), status.alias("status"), F.when(F.col("event_id") % 4 == 0, " why ").alias("note"))
+    log = ev.select(F.lit("character").alias("kind"), F.col("user_id").cast("string").alias("id"), "ts", "event_id", _status(F.col("event_type")).alias("status"), none.alias("note"))
+    known = read(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.lit("character").alias("kind"), F.col("c_custkey").cast("string").alias("id"))
+    good, bad = decisions.record_reviews(asked, known, overlay.latest(log, ["kind", "id"], ["ts", "event_id"]), asked.limit(0).select("kind", "id"))
+    told = good.select("event_id", F.lit("recorded").alias("outcome")).union(bad.select("event_id", "reason"))
+    return asked.select("event_id").join(told, "event_id", "left").select("event_id", F.coalesce("outcome", F.lit("stands")).alias("outcome"))
+
+
+@query("""with o as (select o_custkey as id, year(o_orderdate) as work, month(o_orderdate) as m, o_orderkey as k, (o_custkey % 7)::bigint as z from orders), l as (select work, max(m) as m from o group by 1), n as (select distinct o.work, o.id from o join l using (work, m)),
+ e as (select o.work, unnest([o.id, o.z]) as id from o join l using (work, m)), g as (select work, id, count(*) as d from e group by 1, 2), p as (select n.id, count(*) as n, sum(coalesce(d, 0)) as d from n left join g using (work, id) group by 1)
+ select c_custkey::bigint as id, coalesce(n, 0)::bigint as n_works, coalesce(d, 0)::bigint as degree from customer left join p on p.id = c_custkey""")
+def registry_build(spark, d):
+    """Years as works, months as snapshots; a customer's order is an edge to another entity."""
+    o = read(spark, d, "orders").select(long("o_custkey").alias("id"), F.year("o_orderdate").alias("work"), F.month("o_orderdate").alias("created_at"), F.lit(0).alias("seq"), (F.col("o_custkey") % 7).cast("long").alias("z"))
+    o = o.withColumn("snapshot", F.format_string("%d-%d", "work", "created_at"))
+    snaps = o.select("snapshot", "work", "created_at", "seq").distinct()
+    ents = read(spark, d, "customer").select(long("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    found, _ = lineage.registry(ents, snaps.select("work").distinct(), snaps, o.select("snapshot", "id").distinct(), o.select("snapshot", F.col("id").alias("source"), F.col("z").alias("target")))
+    return found.select("id", "n_works", "degree")
+
+
+@query("""select n_nationkey::bigint as work, (select count(*) from customer where c_nationkey = n_nationkey)::bigint as n_revisions, (select count(*) from supplier where s_nationkey = n_nationkey)::bigint as n_snapshots,
+ (select arg_max(s_suppkey, (s_acctbal, s_suppkey)) from supplier where s_nationkey = n_nationkey)::bigint as newest, (select count(*) from nation x where x.n_regionkey = nation.n_regionkey and x.n_nationkey % 3 <> 0)::bigint as n_entities from nation""")
+def status_summary(spark, d):
+    nation = read(spark, d, "nation")
+    works = nation.select(long("n_nationkey").alias("work"), F.col("n_regionkey").alias("collection"))
+    revisions = read(spark, d, "customer").select(long("c_nationkey").alias("work"))
+    snaps = read(spark, d, "supplier").select(long("s_nationkey").alias("work"), long("s_suppkey").alias("snapshot"), F.col("s_acctbal").alias("created_at"))
+    ents = nation.select(F.col("n_regionkey").alias("collection"), F.when(F.col("n_nationkey") % 3 == 0, "x").alias("merged_into"))
+    return lineage.status(works, revisions, snaps, ents).select("work", "n_revisions", "n_snapshots", "newest", "n_entities")
+
+
+@query("""with e as (select l_orderkey::bigint as o, l_quantity as w, l_linestatus as b, l_returnflag as t, case when l_linenumber % 3 = 0 then 'asserted' when l_linenumber % 3 = 1 then 'observed' else 'human' end as p from lineitem), c as (select o, t, count(*) as n from e group by 1, 2)
+ select o as graph, (select string_agg(t, ',' order by n desc, t) from c where c.o = e.o) as types, case when count(distinct p) > 1 then concat_ws(',', max(case when p = 'observed' then p end), max(case when p = 'asserted' then p end), max(case when p = 'human' then p end)) else '' end as provenances,
+ min(w) as least, max(w) as most, count(distinct b) = 1 and max(w) > min(w) as weights_usable, case when count(distinct b) = 1 then max(b) end as basis from e group by o""")
+def graph_options(spark, d):
+    """What the graph of each order's lines can be filtered by."""
+    p = F.when(F.col("l_linenumber") % 3 == 0, "asserted").when(F.col("l_linenumber") % 3 == 1, "observed").otherwise("human")
+    rows = read(spark, d, "lineitem").select(long("l_orderkey").alias("graph"), F.col("l_quantity").alias("weight"), F.col("l_linestatus").alias("weight_basis"), F.array("l_returnflag").alias("types"), p.alias("provenance"))
+    return edges.options(rows, "graph").withColumns({"types": F.array_join("types", ","), "provenances": F.array_join("provenances", ",")})
+
+
+@query("select source || '/' || coalesce(lang, '') as version, sha256(string_agg(text, '' order by doc_id)) as text_sha256, sum(length(text))::bigint as n_chars from documents group by 1")
+def version_texts(spark, d):
+    docs = read(spark, d, "documents").select(F.concat_ws("/", "source", F.coalesce("lang", F.lit(""))).alias("version"), F.col("doc_id").alias("position"), F.col("doc_id").alias("document"), F.col("text").alias("content"))
+    made = segments.version_text(docs.select("version", "position", "document"), docs.select("document", "content"))
+    return made.select("version", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), long(F.length("text")).alias("n_chars"))
+
+
+@query("""with s as (select source as version, doc_id as document, (sum(length(text)) over (partition by source order by doc_id) - length(text))::bigint as a, (sum(length(text)) over (partition by source order by doc_id))::bigint as b from documents),
+ o as (select version, unnest([a, a + (b - a) // 2, b])::bigint as "offset" from s) select distinct o.version, o."offset", (select max(document) from s where s.version = o.version and a <= o."offset" and o."offset" < b)::bigint as document from o""")
+def documents_at(spark, d):
+    """The first, middle and next offset of each document in its source's text."""
+    docs = read(spark, d, "documents").select(F.col("source").alias("version"), F.col("doc_id").alias("position"), F.col("doc_id").alias("document"), F.col("text").alias("content"))
+    spans = segments.document_spans(docs.select("version", "position", "document"), docs.select("document", "content"))
+    middle = F.col("start") + F.expr("(`end` - start) div 2")
+    asked = spans.select("version", F.explode(F.array("start", middle, "end")).alias("offset")).distinct()
+    return segments.document_at(asked, spans.withColumn("document", F.col("document").cast("string"))).withColumn("document", long("document"))
+
+
+@query("select doc_id, ((length(text) - length(replace(text, 'th', ''))) // 2)::bigint as n from documents")
+def occurrence_counts(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.count_occurrences(F.col("text"), F.lit("th")).alias("n"))
+
+
+@query("select o_orderkey::bigint as k, least(8192 + 48 * (o_orderkey % 700), 32768)::bigint as budget, greatest(8192, least(32768, (o_totalprice::bigint // 3) + 4096 + 512))::bigint as context from orders")
+def reply_budgets(spark, d):
+    o = read(spark, d, "orders")
+    return o.select(long("o_orderkey").alias("k"), long(resolve.token_budget(F.col("o_orderkey") % 700)).alias("budget"), long(resolve.context_size(F.expr("cast(round(o_totalprice) as bigint)"), F.lit(4096))).alias("context"))
+
+
+@query("""with p as (select a.s_suppkey as x, b.s_suppkey as y, case when (a.s_suppkey + b.s_suppkey) % 3 = 0 then 'asserted' else 'observed' end as p from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey)
+ select distinct 'rel:' || least('s' || x, 's' || y) || '--' || greatest('s' || x, 's' || y) || case when p = 'asserted' then '@asserted' else '' end as id, 'char:' || least('s' || x, 's' || y) as source, 'char:' || greatest('s' || x, 's' || y) as target, p as provenance from p""")
+def edge_ids(spark, d):
+    """Ids made of ends, and read back."""
+    s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    pairs = s.alias("a").join(s.alias("b"), F.expr("a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey"))
+    name = lambda c: F.concat(F.lit("char:s"), F.col(c).cast("string"))
+    of = F.when((F.col("a.s_suppkey") + F.col("b.s_suppkey")) % 3 == 0, "asserted").otherwise("observed")
+    made = pairs.select(X.edge_id(name("a.s_suppkey"), name("b.s_suppkey"), of).alias("id")).distinct()
+    return made.withColumn("e", X.edge_ends(F.col("id"))).select("id", "e.source", "e.target", "e.provenance")
+
+
+@query("""with o as (select o_orderkey::bigint as "window", 'C' || (o_custkey % 4) as a, case when o_orderkey % 7 = 0 then null else 'c' || (o_orderkey % 4) end as b, case when o_orderkey % 11 = 0 then '' else o_orderpriority end as q from orders)
+ select "window", case when o."window" % 13 = 0 then 'not JSON' when b is null then 'not two names' when lower(a) = lower(b) then 'one name twice' when q = '' then 'no quotation' else 'ok' end as verdict, case when o."window" % 13 <> 0 then q end as quotation from o""")
+def reply_claims(spark, d):
+    """Orders as recorded replies: some are no JSON, some name a number, some name one entity twice, some quote nothing."""
+    o = read(spark, d, "orders")
+    second = F.when(F.col("o_orderkey") % 7 == 0, "7").otherwise(F.concat(F.lit('"c'), (F.col("o_orderkey") % 4).cast("string"), F.lit('"')))
+    quote = F.when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.col("o_orderpriority"))
+    body = F.format_string('{"interactions": [{"participants": ["C%d", %s], "quotation": "%s"}]}', F.col("o_custkey") % 4, second, quote)
+    replies = o.select(long("o_orderkey").alias("window"), F.when(F.col("o_orderkey") % 13 == 0, "{cut").otherwise(body).alias("reply"))
+    return files.claims_of(replies).select("window", "verdict", "quotation")
+
+
+@query("""with n as (select *, 'd' || doc_id || '.md' as path from documents where doc_id % 9 <> 2) select path, (row_number() over (order by path) - 1)::bigint as position, case when doc_id % 6 = 1 then 'reference' else 'narrative' end as role, length(text)::bigint as characters, sha256(text) as sha256,
+ case when doc_id % 10 = 3 then 'added' when doc_id % 5 = 0 then 'changed' else 'unchanged' end as state from n""")
+def ingest_version(spark, d):
+    """Documents as a source read again: roles as confirmed, some left out, some new, some changed."""
+    docs = read(spark, d, "documents").filter("text is not null")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))
+    old_text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    known = docs.filter("doc_id % 10 <> 3").select(F.col("doc_id").cast("string").alias("document"), path.alias("path"), X.content_hash(old_text).alias("sha256"))
+    members = known.select(F.lit("rev:0").alias("version"), F.lit(0).alias("position"), "document")
+    region = "array<struct<label:string,role:string,starts_at:int,ends_at:int,begins_with:string,ends_with:string>>"
+    plans = docs.filter("doc_id % 6 = 1 or doc_id % 9 = 2").select(path.alias("path"), F.when(F.col("doc_id") % 9 == 2, "excluded").otherwise("reference").alias("role"), F.array().cast(region).alias("regions"))
+    reading = ingesting.Reading(docs.select(path.alias("path"), F.col("text").alias("content")), spark.createDataFrame([], "path string, why string"), "/corpus")
+    works = spark.createDataFrame([("work:corpus", "corpus", "col:corpus", "/corpus")], "work string, title string, collection string, root string")
+    collections = spark.createDataFrame([("col:corpus", "corpus")], "collection string, name string")
+    revisions = spark.createDataFrame([("rev:0", "work:corpus", "2020", 1)], "revision string, work string, created_at string, seq long")
+    found = ingesting.ingest(reading, works, collections, revisions, members, known, plans)
+    return found.documents.select("path", long("position").alias("position"), "role", "characters", "sha256", "state").filter("state <> 'gone'")
+
+
+ISSUES = """with n as (select s_nationkey as g, s_suppkey as k from supplier), e as (select a.g, a.k as x, case when a.g % 5 = 2 then -b.k when a.g % 5 = 3 then a.k else b.k end as y, case when a.g % 5 = 0 then -1 else 1 end as w from n a join n b on a.g = b.g and a.k < b.k)"""
+
+
+@query(ISSUES + """ select g::bigint as snapshot, 'schema' as kind, 'does not fit' as what, count(*)::bigint as n from e where w < 0 group by 1 union all select g, 'reference', y::varchar, count(*) from e where g % 5 = 2 group by g, y
+ union all select g, 'reference', 'relates an entity to itself', count(*) from e where g % 5 = 3 group by g union all select g, 'duplicate', k::varchar, 1 from n where g % 5 = 1""")
+def document_issues(spark, d):
+    """Graphs per nation, of which some have weights below nought, ends that are not there, loops, or each node twice."""
+    s = read(spark, d, "supplier").select(long("s_nationkey").alias("snapshot"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("id"))
+    copies = F.when(F.col("snapshot") % 5 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    nodes = s.withColumn("c", F.explode(copies)).select(
+        "snapshot", (F.col("ord") * 2 + F.col("c")).alias("ord"), "id", F.col("id").alias("name"), F.lit("person").alias("kind"), F.lit("observed").alias("provenance"), F.lit(None).cast("string").alias("review_status"), F.array().cast("array<string>").alias("aliases")
+    )
+    pairs = s.alias("a").join(s.alias("b"), F.expr("a.snapshot = b.snapshot and a.ord < b.ord"))
+    five = F.col("a.snapshot") % 5
+    target = F.when(five == 2, F.concat(F.lit("-"), "b.id")).when(five == 3, F.col("a.id")).otherwise(F.col("b.id"))
+    links = pairs.select(
+        F.col("a.snapshot").alias("snapshot"), (F.col("a.ord") * 100_000 + F.col("b.ord")).alias("ord"), F.concat("a.id", F.lit("--"), "b.id").alias("id"), F.col("a.id").alias("source"), target.alias("target"),
+        F.when(five == 0, -1.0).otherwise(1.0).alias("weight"), F.lit("x").alias("weight_basis"), F.array().cast("array<string>").alias("types"), F.lit("observed").alias("provenance"), F.lit(None).cast("double").alias("confidence"),
+        F.array().cast("array<struct<document:string,exact:string>>").alias("evidence"),
+    )
+    held = s.limit(0).select("snapshot", F.col("id").alias("document"))
+    return validate.document_issues(nodes, links, held).groupBy("snapshot", "kind", "what").agg(F.count("*").alias("n"))
+
+
+@query(f"""with f as ({DECLARED}), e as (select 'd' || a || '-' || b as id, a, b from f where finding <> 'enacted_only' union all select 'e' || a || '-' || b, a, b from f where finding <> 'declared_only') select e.id, f.finding from e join f on e.a = f.a and e.b = f.b""")
+def finding_marks(spark, d):
+    found = declared_vs_enacted(spark, d)
+    mark = lambda letter, p, other: found.filter(F.col("finding") != other).select(F.concat(F.lit(letter), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string")).alias("id"), F.col("a").alias("source"), F.col("b").alias("target"), F.lit(p).alias("provenance"))
+    links = mark("d", "asserted", "enacted_only").unionByName(mark("e", "observed", "declared_only"))
+    return edges.finding_marks(links, found)
+
+
+@query("""select s_suppkey::bigint as id, 'S' || s_suppkey || case when s_suppkey % 2 = 0 then ' → ' else ' — ' end || 'S' || (s_suppkey % 10) as title, concat_ws('|', 'Weight=' || case when s_suppkey % 4 = 0 then (s_suppkey // 4)::varchar else printf('%.2f', s_suppkey / 4.0) end || ' orders',
+ case when s_suppkey % 3 <> 0 then 'Valence=' || case when s_suppkey % 5 - 2 > 0 then '+' else '' end || printf('%.2f', (s_suppkey % 5 - 2) / 2.0) end, 'Provenance=observed', 'Id=' || s_suppkey) as fields from supplier""")
+def edge_panels(spark, d):
+    s = read(spark, d, "supplier").select(long("s_suppkey").alias("id"))
+    name = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    links = s.select(
+        "id", name(F.col("id")).alias("source"), name(F.col("id") % 10).alias("target"), (F.col("id") / 4).alias("weight"), F.lit("orders").alias("weight_basis"), F.when(F.col("id") % 3 != 0, (F.col("id") % 5 - 2) / 2).alias("valence"),
+        F.lit(None).cast("double").alias("confidence"), F.lit("observed").alias("provenance"), (F.col("id") % 2 == 0).alias("directed"),
+    )
+    shown = edges.described_edges(links, s.limit(0).select(name(F.col("id")).alias("id"), F.lit("x").alias("name")))
+    return shown.select("id", "title", F.array_join(F.transform("fields", lambda f: F.concat(f["label"], F.lit("="), f["value"])), "|").alias("fields"))

@@ -53,8 +53,7 @@ def context(text: Column, quotation: Column, reach: int = 40) -> Column:
 
 def word_occurrences(text: Column, form: Column) -> Column:
     """How often ``form`` stands as a word of its own, in any case."""
-    quoted = F.regexp_replace(form, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return F.regexp_count(text, F.concat(F.lit(r"(?iU)(?<!\w)"), quoted, F.lit(r"(?!\w)"))).cast("long")
+    return F.regexp_count(text, F.concat(F.lit(r"(?iU)(?<!\w)"), quoted(form), F.lit(r"(?!\w)"))).cast("long")
 
 
 def form_key_ascii(form: Column) -> Column:
@@ -92,22 +91,50 @@ def document_id(path: Column, sha256: Column) -> Column:
     return F.concat(F.lit("doc:"), name, F.lit("-"), F.substr(F.sha2(F.concat(path, F.lit("\0"), sha256).cast("binary"), 256), F.lit(1), F.lit(12)))
 
 
-def entity_id(name: Column) -> Column:
-    return F.concat(F.lit("char:"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("unnamed")))
+def collection_id(name: Column) -> Column:
+    return F.concat(F.lit("col:"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("untitled")))
+
+
+def work_id(title: Column) -> Column:
+    return F.concat(F.lit("work:"), F.coalesce(F.nullif(slug(title), F.lit("")), F.lit("untitled")))
+
+
+def revision_id(sha256: Column) -> Column:
+    return F.concat(F.lit("rev:"), F.substr(sha256, F.lit(1), F.lit(12)))
+
+
+def run_id(material: Column) -> Column:
+    """Id of a run, from the canonical JSON of all that determines it, its start included."""
+    return F.concat(F.lit("run:"), F.substr(F.sha2(material.cast("binary"), 256), F.lit(1), F.lit(12)))
+
+
+def snapshot_id(revision: Column, run: Column) -> Column:
+    return F.concat(F.lit("snap:"), F.substr(F.sha2(F.concat(revision, F.lit("\n"), run).cast("binary"), 256), F.lit(1), F.lit(12)))
+
+
+def entity_id(name: Column, apart: Column | None = None) -> Column:
+    """Id of an entity by its name; ``apart`` is added where two names share a slug."""
+    plain = F.concat(F.lit("char:"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("unnamed")))
+    return plain if apart is None else F.concat(plain, F.lit("-"), F.coalesce(F.nullif(slug(apart), F.lit("")), F.lit("2")))
+
+
+#: Prefix of entity ids, left out inside edge ids (fixed value).
+ENTITY = "char:"
 
 
 def edge_id(source: Column, target: Column, provenance: Column) -> Column:
     """The same for either order of the ends; the provenance is part of it unless observed."""
     suffix = F.when(provenance == "observed", F.lit("")).otherwise(F.concat(F.lit("@"), provenance))
-    return F.concat(F.lit("rel:"), F.least(source, target), F.lit("--"), F.greatest(source, target), suffix)
+    bare = lambda end: F.regexp_replace(end, "^" + ENTITY, "")
+    return F.concat(F.lit("rel:"), bare(F.least(source, target)), F.lit("--"), bare(F.greatest(source, target)), suffix)
 
 
 def edge_ends(edge: Column) -> Column:
-    """The two ends of an edge's id: struct source, target (nulls where it is none)."""
-    pattern = r"^rel:(.*?)--(.*?)(?:@[a-z]+)?$"
-    return F.struct(
-        F.nullif(F.regexp_extract(edge, pattern, 1), F.lit("")).alias("source"), F.nullif(F.regexp_extract(edge, pattern, 2), F.lit("")).alias("target")
-    )
+    """What an edge's id was made of: struct source, target, provenance (nulls where it is no such id)."""
+    pattern = r"^rel:([^@]+?)--([^@]+)(?:@(.*))?$"
+    end = lambda k: F.when(edge.rlike(pattern), F.concat(F.lit(ENTITY), F.regexp_extract(edge, pattern, k)))
+    provenance = F.coalesce(F.nullif(F.regexp_extract(edge, pattern, 3), F.lit("")), F.lit("observed"))
+    return F.struct(end(1).alias("source"), end(2).alias("target"), F.when(edge.rlike(pattern), provenance).alias("provenance"))
 
 
 def canonical_json(text: Column) -> Column:
@@ -120,15 +147,54 @@ def canonical_json(text: Column) -> Column:
     return made(text)
 
 
-PAYLOAD = re.compile(r"data:([a-z]+/[a-z0-9.+-]+);base64,([A-Za-z0-9+/=\s]{512,})", re.I)
+#: A base64 payload in a text. White space and brackets end it, so that prose after it stays.
+PAYLOAD = r"data:([\w.+-]+/[\w.+-]+);base64,([A-Za-z0-9+/=]+)"
+LEAST_PAYLOAD = 512
 
 
-def without_payloads(text: Column) -> Column:
-    """Base64 payloads of 512 characters or more give way to a note of their kind and size: struct text, n."""
+def without_payloads(text: Column, least: int = LEAST_PAYLOAD) -> Column:
+    """Base64 payloads of ``least`` characters or more give way to a note of their kind and length: struct text, n."""
 
     @F.udf("string", useArrow=True)
     def cut(x):
-        return None if x is None else PAYLOAD.sub(lambda m: f"<{m[1].lower()}> left out, {len(re.sub(r'[=\s]', '', m[2])) * 3 // 4} bytes of base64", x)
+        note = lambda m: m[0] if len(m[2]) < least else f"{m[1]} left out, {len(m[2]):,} bytes of base64"
+        return None if x is None else re.sub(PAYLOAD, note, x, flags=re.A)
 
-    found = F.regexp_count(text, F.lit(r"(?i)data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=\s]{512,}"))
+    payloads = F.regexp_extract_all(text, F.lit(PAYLOAD), F.lit(2))
+    found = F.size(F.filter(payloads, lambda x: F.length(x) >= least))
     return F.struct(F.when(found > 0, cut(text)).otherwise(text).alias("text"), found.cast("long").alias("n"))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a pattern that matches just it."""
+    return F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+
+
+def count_occurrences(text: Column, quotation: Column) -> Column:
+    """How often a quotation occurs, overlapping occurrences included: places where what follows begins with it."""
+    return F.when(F.length(quotation) > 0, F.regexp_count(text, F.concat(F.lit("(?="), quoted(quotation), F.lit(")")))).otherwise(0).cast("long")
+
+
+def revision_hash(documents: Column) -> Column:
+    """Hash of a version: of its documents' contents in order, one after another. ``documents``: array of structs position, content."""
+    joined = F.array_join(F.transform(F.array_sort(documents), lambda d: canonical_text(d["content"])), "")
+    return F.sha2(joined.cast("binary"), 256)
+
+
+def edge_context(raw: Column, near: str) -> Column:
+    """Context on one line that keeps the space on the side of the name (``end`` or ``start``)."""
+    flat = normalise_whitespace(raw)
+    if near == "end":
+        return F.when((flat != "") & raw.rlike(r"(?U)\s$"), F.concat(flat, F.lit(" "))).otherwise(flat)
+    return F.when((flat != "") & raw.rlike(r"(?U)^\s"), F.concat(F.lit(" "), flat)).otherwise(flat)
+
+
+def split_at(text: Column, start: Column, end: Column) -> Column:
+    """A passage around its quotation: struct before, quoted, after; a span that does not fit marks nothing."""
+    fits = (start >= 0) & (end > start) & (end <= F.length(text))
+    part = lambda a, n: F.when(fits, F.substr(text, a + 1, n))
+    return F.struct(
+        F.coalesce(part(F.lit(0), start), text).alias("before"),
+        F.coalesce(part(start, end - start), F.lit("")).alias("quoted"),
+        F.coalesce(part(end, F.length(text) - end), F.lit("")).alias("after"),
+    )

@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import word_occurrences
+from tessella.functions.text import edge_context, normalise_whitespace, word_occurrences
+from tessella.operators.anchors import reanchored
+from tessella.operators.opening import require_reproducible
+
+
+WORDS = r"(?U)\w+"
 
 
 def presence(forms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(form, path, n): how often each form stands as a word in each document. ``forms`` is one version's short list of names."""
-    return docs.join(F.broadcast(forms.select("form").distinct()), F.contains(F.lower("content"), F.lower("form"))).select(
-        "form", "path", word_occurrences(F.col("content"), F.col("form")).alias("n")
-    ).filter("n > 0")
+    """(form, path, n): how often each form stands as a word in each document.
+
+    A form stands only where its first word does, so documents give their distinct words and forms meet them on that;
+    only those pairs are compared. A form without any word is sought everywhere.
+    """
+    names = forms.select("form").distinct().withColumn("word", F.nullif(F.regexp_extract(F.lower("form"), WORDS, 0), F.lit("")))
+    words = docs.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(WORDS), F.lit(0)))).alias("word"))
+    met = words.join(names, "word").select("form", "path")
+    odd = names.filter("word is null and trim(form) <> ''").select("form")
+    if odd.limit(1).count():
+        met = met.union(docs.join(odd, F.contains("content", "form")).select("form", "path"))
+    counted = met.join(docs.select("path", "content"), "path").select("form", "path", word_occurrences(F.col("content"), F.col("form")).alias("n"))
+    return counted.filter("n > 0")
+
+
+def locations(stale: DataFrame, docs: DataFrame, reach: int = 40) -> DataFrame:
+    """Every place where a stale form (form, remaining) still stands: form, path, at, prefix, exact, suffix."""
+
+    @F.udf("array<int>", useArrow=True)
+    def places(text, form):
+        return [m.start() for m in re.finditer(rf"(?<!\w){re.escape(form)}(?!\w)", text, re.I)]
+
+    asked = stale.select("form", F.explode("remaining").alias("path")).join(docs.select("path", "content"), "path")
+    at = asked.select("form", "path", "content", F.explode(places("content", "form")).alias("at"))
+    end = F.col("at") + F.length("form")
+    begin = F.greatest(F.lit(0), F.col("at") - reach)
+    return at.select(
+        "form", "path", "at", edge_context(F.substr("content", begin + 1, F.col("at") - begin), "end").alias("prefix"),
+        F.substr("content", F.col("at") + 1, F.length("form")).alias("exact"), edge_context(F.substr("content", end + 1, F.lit(reach)), "start").alias("suffix"),
+    )
 
 
 def stale_names(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -43,6 +76,45 @@ def lost_positions(evidence: DataFrame, segments: DataFrame) -> DataFrame:
     return evidence.join(segments.select("doc_id", "path"), ["doc_id", "path"], "left_anti")
 
 
+def surviving_words(lost: DataFrame, texts: DataFrame) -> DataFrame:
+    """Lost evidence (doc_id, exact, prefix, suffix, hint, ...) with ``words_survive``: whether its words are still in the text (doc_id, text)."""
+    normal = texts.select("doc_id", normalise_whitespace(F.col("text")).alias("text"))
+    found = reanchored(lost.join(normal, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit(""))))
+    return found.withColumn("words_survive", F.col("anchor").isNotNull()).drop("text", "anchor")
+
+
+@dataclass
+class Report:
+    """``stale``: form, retired, remaining, replacement. ``locations`` of those forms. ``lost``: evidence with words_survive. ``superseded``: documents."""
+
+    stale: DataFrame | None
+    locations: DataFrame | None
+    lost: DataFrame | None
+    superseded: DataFrame
+    notes: list[str] = field(default_factory=list)
+
+
+def report(forms: DataFrame, before: DataFrame, after: DataFrame, evidence: DataFrame, segments: DataFrame, texts: DataFrame, plans: DataFrame, moved: bool, types: list[str] | None = None) -> Report:
+    """A reading against the text as it is now.
+
+    ``forms``: form, entity, ord of the reading. ``before`` and ``after``: path, content of the version read and of the one
+    compared. Unless the text has ``moved`` nothing can be stale or lost; superseded documents are told always. Positions
+    are only checked where the division can be made again.
+    """
+    old = superseded(plans)
+    if not moved:
+        return Report(None, None, None, old)
+    shared = before.select("path").join(after.select("path"), "path")
+    was, now = (presence(forms, docs.join(shared, "path")) for docs in (before, after))
+    stale = stale_names(was, now)
+    told = stale.join(replaced_by(stale, was, now, forms), "form", "left")
+    try:
+        require_reproducible(types)
+    except ValueError as why:
+        return Report(told, locations(stale, after), None, old, [f"positions were not checked: {why}"])
+    return Report(told, locations(stale, after), surviving_words(lost_positions(evidence, segments), texts), old)
+
+
 def superseded(docs: DataFrame) -> DataFrame:
     """Documents of one version that another document there is a revision of."""
     newer = docs.filter("revision_of is not null").select(F.col("version"), F.col("revision_of").alias("path"), F.col("path").alias("by"))
@@ -66,6 +138,6 @@ def revision_proposals(docs: DataFrame) -> DataFrame:
     named = docs.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
     x, y = named.alias("x"), named.alias("y")
     met = x.join(y, F.expr("x.name = y.name and y.ord < x.ord")).select(
-        F.col("x.ord").alias("ord"), F.col("x.path").alias("path"), F.col("y.path").alias("earlier"), ratio("x.content", "y.content").alias("similarity")
+        F.col("x.ord").alias("ord"), F.col("x.path").alias("path"), F.col("y.path").alias("earlier"), ratio(normalise_whitespace(F.col("x.content")), normalise_whitespace(F.col("y.content"))).alias("similarity")
     )
     return met.groupBy("ord", "path").agg(F.max(F.struct("similarity", "earlier")).alias("b")).select("ord", "path", "b.earlier", "b.similarity")

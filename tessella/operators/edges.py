@@ -147,3 +147,103 @@ def confidence_summary(edges: DataFrame, *keys: str, below: float = 0.5) -> Data
 def filter_options(edges: DataFrame) -> DataFrame:
     """Types by frequency, then name."""
     return edges.select(F.explode("types").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+#: Provenances in the order in which they are offered (fixed values).
+PROVENANCES = ["observed", "asserted", "human"]
+
+
+def options(edges: DataFrame, *keys: str) -> DataFrame:
+    """What each graph (of equal ``keys``) can be filtered by: types (most frequent first), provenances (where there are several), weights.
+
+    Weights can be filtered by only where they are of one basis and differ.
+    """
+    types = edges.select(*keys, F.explode("types").alias("type")).groupBy(*keys, "type").agg(F.count("*").alias("n"))
+    ranked = types.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "type"))).alias("t")).select(*keys, F.transform("t", lambda x: x["type"]).alias("types"))
+    rest = edges.groupBy(*keys).agg(
+        F.collect_set("provenance").alias("p"), F.min("weight").alias("least"), F.max("weight").alias("most"), F.count_distinct("weight_basis").alias("b"), F.max("weight_basis").alias("basis")
+    )
+    known = F.filter(F.array(*map(F.lit, PROVENANCES)), lambda x: F.array_contains("p", x))
+    out = rest.join(ranked, list(keys), "left") if keys else rest.crossJoin(ranked)
+    return out.select(
+        *keys, F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.when(F.size("p") > 1, known).otherwise(F.array().cast("array<string>")).alias("provenances"),
+        F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(0)).alias("most"), ((F.col("b") == 1) & (F.col("most") > F.col("least"))).alias("weights_usable"),
+        F.when(F.col("b") == 1, F.col("basis")).alias("basis"),
+    )
+
+
+def edge_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges of ``pairs`` (a, b), whichever way round."""
+    keyed = edges.withColumn("_a", F.least("source", "target")).withColumn("_b", F.greatest("source", "target"))
+    wanted = pairs.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
+    return keyed.join(wanted, ["_a", "_b"], "left_semi").drop("_a", "_b")
+
+
+def finding_marks(edges: DataFrame, findings: DataFrame) -> DataFrame:
+    """Edges that assert or observe (id) with the finding (a, b, finding) about their pair."""
+    keyed = edges.filter(F.col("provenance").isin("asserted", "observed")).select("id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    return keyed.join(findings.select("a", "b", "finding"), ["a", "b"]).select("id", "finding")
+
+
+def finding_list(findings: DataFrame, names: DataFrame) -> DataFrame:
+    """Findings with names (id, name): finding, subject; an id stands for a name that is missing."""
+    n = lambda end: names.select(F.col("id").alias(end), F.col("name").alias(f"_{end}"))
+    joined = findings.join(n("a"), "a", "left").join(n("b"), "b", "left")
+    return joined.select("finding", F.concat_ws(" and ", F.coalesce("_a", F.col("a").cast("string")), F.coalesce("_b", F.col("b").cast("string"))).alias("subject"))
+
+
+def finding_sentence(findings: DataFrame) -> DataFrame:
+    """One row, one sentence."""
+    of = lambda f: F.count_if(F.col("finding") == f)
+    n = findings.agg(of("declared_only").alias("d"), of("enacted_only").alias("e"), of("agreed").alias("g"))
+    parts = F.array_compact(F.array(F.when(F.col("d") > 0, F.format_string("%d declared but never enacted", "d")), F.when(F.col("e") > 0, F.format_string("%d enacted but never declared", "e"))))
+    return n.select(F.when(F.size(parts) == 0, F.format_string("Every relation is both declared and enacted (%d).", "g")).otherwise(F.concat(F.array_join(parts, ", "), F.format_string("; %d agreed.", "g"))).alias("sentence"))
+
+
+def uncertain(rows: DataFrame, below: float = 0.5) -> DataFrame:
+    """Nodes or edges that their reading was not sure of."""
+    return rows.filter(confidence(F.col("confidence").cast("double")) < below)
+
+
+def confidence_sentence(n: Column, n_said: Column, n_uncertain: Column, below: float = 0.5) -> Column:
+    """What may be said of a reading's confidence."""
+    scope = F.when(n_said == n, F.format_string("%d relation(s)", n_said)).otherwise(F.format_string("%d of %d relation(s)", n_said, n))
+    told = F.when(n_uncertain == 0, F.lit(f"none below {below:.2f}")).otherwise(F.concat(n_uncertain.cast("string"), F.lit(f" below {below:.2f}")))
+    return F.when(n_said == 0, "not recorded by this reading").otherwise(F.concat(scope, F.lit(", "), told))
+
+
+def confidence_legend(n_said: Column, below: float = 0.5) -> Column:
+    return F.when(n_said > 0, F.lit(f"Dotted edges are those this reading was less than {below:.2f} sure of; an edge without a confidence is solid."))
+
+
+def decimal(value: Column) -> Column:
+    """A count as it is, any other number with two decimals; a dash where it is no number."""
+    sound = value.isNotNull() & ~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) != float("inf"))
+    return F.when(~sound, "\u2014").when(value == F.floor(value), F.format_string("%d", value.cast("long"))).otherwise(F.format_string("%.2f", value.cast("double")))
+
+
+def signed(value: Column) -> Column:
+    """A tone with two decimals and its sign."""
+    return F.when(value > 0, F.format_string("+%.2f", value.cast("double"))).otherwise(F.format_string("%.2f", value.cast("double")))
+
+
+def _fields(**fields: Column) -> Column:
+    return F.filter(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k.capitalize()).alias("label"), v.cast("string").alias("value"))) for k, v in fields.items()]), lambda x: x.isNotNull())
+
+
+def described_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A panel per node: id, title, fields it carries. ``nodes``: id, name, kind, salience, confidence, provenance."""
+    joined = nodes.join(degrees(nodes, drawable(nodes, edges)), "id")
+    two = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c).cast("double")))
+    fields = _fields(kind=F.col("kind"), relations=F.col("degree"), salience=two("salience"), confidence=two("confidence"), provenance=F.col("provenance"), id=F.col("id"))
+    return joined.select("id", F.col("name").alias("title"), fields.alias("fields"))
+
+
+def described_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """A panel per edge: id, title, fields it carries. ``edges``: id, source, target, weight, weight_basis, valence, confidence, provenance, directed."""
+    n = lambda end: names.select(F.col("id").alias(end), F.col("name").alias(f"_{end}"))
+    joined = edges.join(n("source"), "source", "left").join(n("target"), "target", "left")
+    arrow = F.when(F.coalesce("directed", F.lit(False)), " \u2192 ").otherwise(" \u2014 ")
+    two = F.when(F.col("confidence").isNotNull(), F.format_string("%.2f", F.col("confidence").cast("double")))
+    fields = _fields(weight=F.concat_ws(" ", decimal(F.col("weight")), "weight_basis"), valence=F.when(F.col("valence").isNotNull(), signed(F.col("valence"))), confidence=two, provenance=F.col("provenance"), id=F.col("id"))
+    return joined.select("id", F.concat(F.coalesce("_source", "source"), arrow, F.coalesce("_target", "target")).alias("title"), fields.alias("fields"))

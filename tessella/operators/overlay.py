@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import edge_ends
+from tessella.functions.text import edge_ends, edge_id
+from tessella.plans.scratch import stored
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -14,18 +15,35 @@ def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def merge_closure(merges: DataFrame, depth: int = 64) -> DataFrame:
-    """Where each merged id ends up: from_id, to_id, over any chain. An id on a cycle goes to the smallest of it.
-
-    Each round doubles the length of chains followed, so ``depth`` 64 is six rounds.
-    """
-    now = merges.select("from_id", "to_id")
-    for _ in range(max(1, depth.bit_length() - 1)):
+def _followed(steps: DataFrame, longest: int) -> DataFrame:
+    """``steps`` (from_id, to_id) followed for ``longest`` steps or to their ends, in rounds that double their length."""
+    now, length = stored(steps), 1
+    while length < longest:
         on = now.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("_next"))
-        now = now.join(on, "to_id", "left").select("from_id", F.when(F.col("_next") == F.col("from_id"), F.least("to_id", "from_id")).otherwise(F.coalesce("_next", "to_id")).alias("to_id"))
+        new = stored(now.join(on, "to_id", "left").select("from_id", F.coalesce("_next", "to_id").alias("to_id")))
+        open_ = new.join(steps.select(F.col("from_id").alias("to_id")), "to_id", "left_semi")
+        now, length = new, 2 * length
+        if not open_.limit(1).count():
+            break
     return now
 
 
+def merge_closure(merges: DataFrame) -> DataFrame:
+    """Where each merged id (from_id, to_id; one row per from_id) ends up, over any chain.
+
+    An id on a cycle ends at itself, and a chain that runs into a cycle at the id where it meets it.
+    """
+    steps = stored(merges.select("from_id", "to_id").filter("from_id <> to_id"))
+    ends = _followed(steps, steps.count())
+    # after as many steps as there are merges, who still has a step ahead stands on a cycle, and each id of it is stood on
+    cycle = ends.join(steps.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").select(F.col("to_id").alias("from_id")).distinct()
+    if cycle.limit(1).count():
+        cycle = stored(cycle)
+        open_ = stored(steps.join(cycle, "from_id", "left_anti"))
+        ends = _followed(open_, max(1, open_.count())).union(cycle.select("from_id", F.col("from_id").alias("to_id")))
+    return ends.select("from_id", "to_id")
+
+
 def redirected(log: DataFrame, closure: DataFrame, column: str) -> DataFrame:
     """``log`` with ids in ``column`` moved along ``closure``, before any folding."""
     c = closure.select(F.col("from_id").alias(column), F.col("to_id").alias("_to"))
@@ -35,9 +53,9 @@ def redirected(log: DataFrame, closure: DataFrame, column: str) -> DataFrame:
 def redirected_edge_ids(log: DataFrame, closure: DataFrame, column: str) -> DataFrame:
     """The same for ids of edges, through their ends. An edge whose ends become one keeps its id."""
     ends = edge_ends(F.col(column))
-    parts = log.withColumn("_s", ends["source"]).withColumn("_t", ends["target"]).withColumn("_p", F.regexp_extract(F.col(column), r"(@[a-z]+)?$", 0))
+    parts = log.withColumn("_s", ends["source"]).withColumn("_t", ends["target"]).withColumn("_p", ends["provenance"])
     moved = redirected(redirected(parts, closure, "_s"), closure, "_t")
-    built = F.concat(F.lit("rel:"), F.least("_s", "_t"), F.lit("--"), F.greatest("_s", "_t"), F.col("_p"))
+    built = edge_id(F.col("_s"), F.col("_t"), F.col("_p"))
     return moved.withColumn(column, F.when(F.col("_s").isNull() | (F.col("_s") == F.col("_t")), F.col(column)).otherwise(built)).select(*log.columns)
 
 
@@ -50,7 +68,7 @@ def with_status(subjects: DataFrame, standing: DataFrame) -> DataFrame:
 def status_counts(rows: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
     """Rows per key and status, zeros included. ``vocabulary`` is the small table of statuses."""
     counted = rows.groupBy(*keys, "status").agg(F.count("*").alias("n"))
-    axes = rows.select(*keys).distinct().crossJoin(F.broadcast(vocabulary.select("status"))) if keys else vocabulary.select("status")
+    axes = rows.select(*keys).distinct().crossJoin(vocabulary.select("status")) if keys else vocabulary.select("status")
     return axes.join(counted, [*keys, "status"], "left").select(*keys, "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

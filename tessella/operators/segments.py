@@ -106,9 +106,59 @@ def windows(pieces: DataFrame, target: int) -> DataFrame:
     return folded.select("doc_id", F.posexplode("w").alias("window_index", "w")).select("doc_id", F.col("window_index").cast("long").alias("window_index"), "w.*")
 
 
-def version_text(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """The text of each version: its documents' contents in order, nothing between; and each document's span."""
+def document_spans(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each document's span in its version's text: version, position, document, start, end (exclusive)."""
     joined = members.join(docs.select("document", "content"), "document")
     w = Window.partitionBy("version").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.length("content")).over(w)
     return joined.select("version", "position", "document", (end - F.length("content")).cast("long").alias("start"), end.cast("long").alias("end"))
+
+
+def version_text(members: DataFrame, docs: DataFrame, roles: list[str] | None = None) -> DataFrame:
+    """The text of each version: its documents' contents in order of position, nothing between; of some roles only where given."""
+    joined = members.join(docs.filter(F.col("role").isin(*roles)) if roles else docs, "document")
+    ordered = F.array_sort(F.collect_list(F.struct("position", "content")))
+    return joined.groupBy("version").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "").alias("text"))
+
+
+def document_at(offsets: DataFrame, spans: DataFrame) -> DataFrame:
+    """``offsets`` (version, offset) with the document whose half-open span holds them: none beyond the last, the first where the offset is null.
+
+    Spans adjoin, so the holder is the last span that starts at or before the offset: one sort per version.
+    """
+    marks = spans.select("version", F.col("start").alias("at"), F.lit(0).alias("kind"), "document", "end", F.lit(None).cast("long").alias("offset"))
+    asked = offsets.select(
+        "version", F.coalesce("offset", F.lit(0)).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("document"),
+        F.lit(None).cast("long").alias("end"), F.col("offset").cast("long").alias("offset"),
+    )
+    marks = marks.filter(F.col("at") < F.col("end"))  # an empty document holds no offset
+    w = Window.partitionBy("version").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = marks.unionByName(asked).withColumn("document", F.last("document", True).over(w)).withColumn("end", F.last("end", True).over(w))
+    return held.filter("kind = 1").select("version", "offset", F.when(F.col("at") < F.col("end"), F.col("document")).alias("document"))
+
+
+def span_of(positions: DataFrame, spans: DataFrame) -> DataFrame:
+    """The span in the joined text of each passage (doc_id, pos) that has one."""
+    return positions.join(spans.select("doc_id", "pos", "norm_start", "norm_end"), ["doc_id", "pos"])
+
+
+def locate_quotation(claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """Claims (doc_id, claim, first, last, quotation) with the first passage of their window, in order, that holds the quotation; null where none does."""
+    needle = claims.withColumn("_needle", normalise_whitespace(F.coalesce("quotation", F.lit(""))))
+    near = needle.join(passages.select("doc_id", F.col("pos").alias("_pos"), "passage"), "doc_id").filter(
+        F.col("_pos").between(F.col("first"), F.col("last")) & (F.col("_needle") != "") & F.contains("passage", "_needle")
+    )
+    first = near.groupBy("doc_id", "claim").agg(F.min("_pos").alias("pos"))
+    return claims.join(first, ["doc_id", "claim"], "left")
+
+
+def locator_path(found: DataFrame) -> DataFrame:
+    """Segments with ``chain``: the steps (type, index, label) from the outermost one to each.
+
+    A segment's ordinals are in ``path``; each step's type and label are those of the ancestor with that part of the path.
+    """
+    steps = found.select("doc_id", "pos", "path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("depth", "part"))
+    owner = found.select("doc_id", F.col("path").alias("part"), "type", "index", "label")
+    chained = steps.join(owner, ["doc_id", "part"]).groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("depth", "type", "index", "label"))).alias("c"))
+    chain = F.transform("c", lambda s: F.struct(s["type"].alias("type"), s["index"].alias("index"), s["label"].alias("label")))
+    return found.join(chained.select("doc_id", "pos", chain.alias("chain")), ["doc_id", "pos"])

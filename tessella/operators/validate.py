@@ -45,3 +45,57 @@ def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = [dangling(edges, e, nodes, "id").select(F.lit("reference").alias("kind"), "id") for e in ("source", "target")] if "id" in edges.columns else []
     loops = self_relations(edges).select(F.lit("reference").alias("kind"), "id")
     return reduce(DataFrame.unionByName, [*twice, *ends, loops]).distinct()
+
+
+def _nodes_shape() -> dict[str, Column]:
+    c = F.col
+    return {
+        "id": c("id").rlike(r"^\S.*$"), "name": F.length(F.trim("name")) > 0, "kind": c("kind").isNull() | c("kind").isin("person", "collective", "entity", "unknown"),
+        "provenance": c("provenance").isin("observed", "asserted", "human"), "review_status": c("review_status").isNull() | c("review_status").isin("proposed", "accepted", "corrected", "rejected"),
+        "aliases": c("aliases").isNull() | ~F.exists("aliases", lambda x: x.isNull() | (F.trim(x) == "")),
+    }
+
+
+def _edges_shape() -> dict[str, Column]:
+    c = F.col
+    return edge_checks() | {
+        "source": F.length("source") > 0, "target": F.length("target") > 0, "types": c("types").isNull() | ~F.exists("types", lambda x: x.isNull() | (x == "")),
+        "evidence": c("evidence").isNull() | ~F.exists("evidence", lambda e: e["exact"].isNull() | (F.trim(e["exact"]) == "")),
+    }
+
+
+def document_issues(nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """All issues of graph versions, by path: snapshot, kind (schema, duplicate, reference), path, what.
+
+    ``nodes``: snapshot, ord, id, name, kind, provenance, review_status, aliases. ``edges``: snapshot, ord, id, source, target, weight,
+    weight_basis, types, provenance, confidence, evidence (structs document, exact). ``documents``: snapshot, document. A version whose shape is not sound is
+    judged on its shape only; evidence is held against documents only where the version names any.
+    """
+    at = lambda part, field: F.concat(F.lit(f"/{part}/"), F.col("ord").cast("string"), F.lit("/"), field)
+    shape = [shape_issues(t, checks, "snapshot", "ord").select("snapshot", F.lit("schema").alias("kind"), at(part, F.col("issue")).alias("path"), F.lit("does not fit").alias("what"))
+             for t, checks, part in ((nodes, _nodes_shape(), "characters"), (edges, _edges_shape(), "relations"))]
+    shape = shape[0].unionByName(shape[1])
+    sound = lambda t: t.join(shape.select("snapshot").distinct(), "snapshot", "left_anti")
+    n, e = sound(nodes), sound(edges)
+    twice = [
+        t.groupBy("snapshot", "id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("ord")).alias("o")).filter("n > 1")
+        .select("snapshot", F.lit("duplicate").alias("kind"), F.concat(F.lit(f"/{part}/"), F.element_at("o", 2).cast("string"), F.lit("/id")).alias("path"), F.col("id").alias("what"))
+        for t, part in ((n, "characters"), (e, "relations"))
+    ]
+    ids = n.select("snapshot", F.col("id").alias("end")).distinct()
+    ends = [
+        e.withColumn("end", F.col(side)).join(ids, ["snapshot", "end"], "left_anti").select("snapshot", F.lit("reference").alias("kind"), at("relations", F.lit(side)).alias("path"), F.col("end").alias("what"))
+        for side in ("source", "target")
+    ]
+    loops = e.filter("source = target").select("snapshot", F.lit("reference").alias("kind"), at("relations", F.lit("target")).alias("path"), F.lit("relates an entity to itself").alias("what"))
+    pieces = e.select("snapshot", "ord", F.posexplode("evidence").alias("i", "piece")).select("snapshot", "ord", "i", F.col("piece.document").alias("document")).filter("document is not null")
+    judged = pieces.join(documents.select("snapshot").distinct(), "snapshot", "left_semi").join(documents.select("snapshot", "document"), ["snapshot", "document"], "left_anti")
+    lost = judged.select("snapshot", F.lit("reference").alias("kind"), at("relations", F.concat(F.lit("evidence/"), F.col("i").cast("string"))).alias("path"), F.col("document").alias("what"))
+    return reduce(DataFrame.unionByName, [shape, *twice, *ends, loops, lost])
+
+
+def axis_issues(snapshots: DataFrame, works: DataFrame, revisions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Snapshots (snapshot, work, revision, run) that name a work, revision or run that is not there: snapshot, axis, what."""
+    tables = {"work": works, "revision": revisions, "run": runs}
+    each = [dangling(snapshots, a, t, a).select("snapshot", F.lit(a).alias("axis"), F.col(a).alias("what")) for a, t in tables.items()]
+    return reduce(DataFrame.unionByName, each)

@@ -1,16 +1,16 @@
-"""Tables of versions, entities and decisions as versioned Parquet folders with one pointer each.
+"""Tables of versions, entities and decisions as numbered Parquet folders.
 
-A write makes a new folder and then moves the pointer, so readers see the old rows or the new ones. One
-writer at a time is assumed. Logs are appended to; snapshots are never changed.
+A write makes the next folder of its table; it counts once Spark has marked it complete. Readers take the
+highest complete one, so they see the old rows or the new ones, also after a crash. Logs grow by
+folders, all of which count. One writer at a time is assumed. Snapshots are never changed.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def file_states(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -20,12 +20,23 @@ def file_states(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "path", "full").select("path", state.alias("state"))
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of equal key; a null in ``new`` keeps what was there."""
-    rest = [c for c in old.columns if c not in keys]
-    joined = new.alias("n").join(old.alias("o"), keys, "left")
-    merged = joined.select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in rest])
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(merged)
+#: Columns that a write never takes away once they are set: kept where the new value is null (others too), or even where it is not (fixed values).
+KEPT_ONCE_SET = {"revisions": ["label", "created_at"], "documents": ["content", "sha256"]}
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], first_wins: list[str] = ()) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of equal key.
+
+    A null in ``new`` keeps what was there; of ``first_wins`` what was there stays in any case. Columns that only
+    one side has are added, null on the other.
+    """
+    columns = [*old.columns, *[c for c in new.columns if c not in old.columns]]
+    wide = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+    o, n = wide(old), wide(new)
+    joined = n.alias("n").join(o.alias("o"), keys, "left")
+    pick = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in first_wins else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+    merged = joined.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in columns])
+    return o.join(n.select(*keys), keys, "left_anti").unionByName(merged)
 
 
 def claim_conflicts(held: DataFrame, claims: DataFrame) -> DataFrame:
@@ -34,39 +45,74 @@ def claim_conflicts(held: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.join(h, ["collection_id", "form_key"]).filter("holder <> entity_id")
 
 
+def missed(requests: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Requests (fingerprint, ...) without a recorded exchange."""
+    return requests.join(recorded.select("fingerprint"), "fingerprint", "left_anti")
+
+
+def nearest_recorded(requests: DataFrame, recorded: DataFrame, fields: list[str]) -> DataFrame:
+    """For requests that were missed, the recorded one of their step that differs in the fewest fields, and in which."""
+    a = requests.select("fingerprint", "step", *[F.col(f).alias(f"_a_{f}") for f in fields])
+    b = recorded.select(F.col("fingerprint").alias("nearest"), "step", *[F.col(f).alias(f"_b_{f}") for f in fields])
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}")), F.lit(f)) for f in fields]))
+    met = a.join(b, "step").select("fingerprint", "nearest", differs.alias("differs"))
+    return met.groupBy("fingerprint").agg(F.min(F.struct(F.size("differs").alias("n"), "nearest", "differs")).alias("m")).select("fingerprint", "m.nearest", "m.differs")
+
+
 class Store:
     """Named tables under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+    def _folders(self, table: str, prefix: str) -> list[str]:
+        """Complete folders of a table, in order of their number."""
+        context = self.spark.sparkContext
+        done = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{prefix}-*/_SUCCESS")
+        found = done.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(done) or []
+        return sorted(s.getPath().getParent().toString() for s in found)
+
+    def _next(self, table: str, prefix: str) -> str:
+        context = self.spark.sparkContext
+        any_ = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{prefix}-*")
+        found = any_.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(any_) or []
+        last = max((int(re.search(r"-(\d+)$", s.getPath().getName())[1]) for s in found), default=0)
+        return f"{self.root}/{table}/{prefix}-{last + 1:012d}"
 
     def read(self, table: str) -> DataFrame | None:
-        try:
-            folder = self.spark.read.text(self._pointer(table)).first()[0]
-        except Exception as e:  # the table has not been written
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return self.spark.read.parquet(f"{self.root}/{table}/{folder}")
+        versions = self._folders(table, "v")[-1:] or self._folders(table, "log")
+        return self.spark.read.option("mergeSchema", True).parquet(*versions) if versions else None
 
     def write(self, table: str, rows: DataFrame) -> None:
-        folder = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{table}/{folder}")
-        self.spark.createDataFrame([(folder,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        rows.write.parquet(self._next(table, "v"))
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str]) -> None:
         old = self.read(table)
-        self.write(table, rows if old is None else upserted(old, rows, keys))
+        self.write(table, rows if old is None else upserted(old, rows, keys, KEPT_ONCE_SET.get(table, [])))
 
     def append(self, table: str, rows: DataFrame, order: list[str]) -> None:
-        """Adds to a log; ``seq`` goes on from the largest there is."""
+        """Adds a folder to a log. ``seq`` goes on from the largest there is, rising in the given order; numbers may be left out."""
         old = self.read(table)
         last = 0 if old is None else old.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        numbered = rows.withColumn("seq", (F.lit(last) + F.row_number().over(Window.orderBy(*order))).cast("long"))
-        self.write(table, numbered if old is None else old.unionByName(numbered))
+        numbered = rows.orderBy(*order).withColumn("seq", F.lit(last) + 1 + F.monotonically_increasing_id())
+        numbered.write.parquet(self._next(table, "log"))
+
+    def delete_where(self, table: str, condition) -> int:
+        """Takes rows out of a table; how many there were."""
+        old = self.read(table)
+        if old is None:
+            return 0
+        gone = F.coalesce(condition, F.lit(False))
+        n = old.filter(gone).count()
+        if n:
+            self.write(table, old.filter(~gone))
+        return n
+
+    def record_replies(self, replies: DataFrame) -> None:
+        """Adds exchanges (fingerprint, ...) to the record; one that is there already stays as it is."""
+        old = self.read("replies")
+        rows = replies.dropDuplicates(["fingerprint"])
+        self.append("replies", rows if old is None else missed(rows, old), ["fingerprint"])
 
     def claim_forms(self, claims: DataFrame) -> None:
         """Gives forms to entities; refused as a whole where another entity holds one. An entity's old forms go."""
@@ -87,3 +133,13 @@ class Store:
                 raise ValueError(f"snapshot {clash[0]['id']} exists with other content")
             rows = rows.join(old.select("id"), "id", "left_anti")
         self.append("snapshots", rows, ["id"])
+
+
+def find_store(start: str, name: str = "store", explicit: str | None = None) -> str | None:
+    """Where the store is: the given place, else the nearest folder of that name in ``start`` or above it."""
+    from pathlib import Path
+
+    if explicit:
+        return explicit
+    at = Path(start).resolve()
+    return next((str(p / name) for p in (at, *at.parents) if (p / name).is_dir()), None)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import canonical_text, content_hash
+from tessella.plans.scratch import stored
 
 TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".text")
 
@@ -33,17 +37,61 @@ def text_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def positioned(docs: DataFrame) -> DataFrame:
-    """``docs`` of one version with position from 0 in order of path."""
-    return docs.withColumn("position", F.row_number().over(Window.orderBy("path")) - 1)
+    """``docs`` of one version with position from 0 in order of path.
+
+    A version is what one source holds, and is read whole; its rows are ordered by one task, without their contents.
+    """
+    place = docs.select("path").withColumn("position", F.row_number().over(Window.orderBy("path")) - 1)
+    return docs.join(place, "path")
+
+
+#: Hosts whose folder addresses are understood (fixed values).
+DRIVE_HOSTS = ("drive.google.com", "docs.google.com")
+FOLDER_ID = "^[A-Za-z0-9_-]+$"
 
 
 def folder_of(address: Column) -> Column:
-    """The folder id of a drive address: a URL with /folders/, a query id, or the id itself."""
-    return F.coalesce(
-        F.nullif(F.regexp_extract(address, r"/folders/([A-Za-z0-9_-]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(address, r"[?&]id=([A-Za-z0-9_-]+)", 1), F.lit("")),
-        F.when(address.rlike("^[A-Za-z0-9_-]+$"), address),
+    """The folder id of a drive address: a URL of the drive with /folders/, ``gdrive:folder/<id>``, or the id itself; null for any other."""
+    plain = F.trim(address)
+    ours = F.coalesce(F.try_parse_url(plain, F.lit("HOST")).isin(*DRIVE_HOSTS), F.lit(False))
+    found = (
+        F.when(plain.startswith("gdrive:folder/"), F.substr(plain, F.lit(15)))
+        .when(F.contains(plain, F.lit("://")), F.when(ours, F.regexp_extract(F.try_parse_url(plain, F.lit("PATH")), r"/folders/([^/]+)", 1)))
+        .otherwise(plain)
     )
+    return F.when(found.rlike(FOLDER_ID), found)
+
+
+def root_of(address: Column) -> Column:
+    """The one name of a folder, whichever way it was addressed."""
+    return F.concat(F.lit("gdrive:folder/"), folder_of(address))
+
+
+#: Kinds of entries of a listing (fixed values).
+FOLDER_TYPE, DOCUMENT_TYPE = "application/vnd.google-apps.folder", "application/vnd.google-apps.document"
+
+
+def walked(entries: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Documents under a folder of a recorded listing (id, name, parent_id, mime_type, body), with their paths, and those that are not read.
+
+    Folders are followed level by level, each once. Of several documents at a path the first id is read.
+    """
+    spark = entries.sparkSession
+    folders = entries.filter(F.col("mime_type") == FOLDER_TYPE).select("id", "name", "parent_id")
+    level = spark.createDataFrame([(root, "")], "folder string, prefix string")
+    seen = level
+    while True:
+        below = folders.join(level, folders["parent_id"] == level["folder"]).select(F.col("id").alias("folder"), F.concat("prefix", "name", F.lit("/")).alias("prefix"))
+        level = stored(below.join(seen.select("folder"), "folder", "left_anti").groupBy("folder").agg(F.min("prefix").alias("prefix")))
+        if not level.limit(1).count():
+            break
+        seen = stored(seen.unionByName(level))
+    files = entries.filter(F.col("mime_type") != FOLDER_TYPE).join(seen, F.col("parent_id") == F.col("folder"))
+    exported = F.col("mime_type") == DOCUMENT_TYPE
+    placed = files.withColumn("path", exported_path(F.concat("prefix", "name"), exported))
+    text = exported | F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*TEXT_SUFFIXES)
+    good, bad = listing(placed.withColumn("readable", text & F.col("body").isNotNull()))
+    return good, bad
 
 
 def exported_path(name: Column, exported: Column) -> Column:
@@ -73,6 +121,21 @@ def graph_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GRAPH).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def parse_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Files under ``path`` that are no JSON: path, line, col, message."""
+
+    @F.udf("struct<line:int,col:int,message:string>", useArrow=True)
+    def judged(text):
+        try:
+            json.loads(text)
+        except json.JSONDecodeError as e:
+            return {"line": e.lineno, "col": e.colno, "message": e.msg}
+        return None
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.withColumn("e", judged("value")).filter("e is not null").select("path", "e.*")
+
+
 def graph_nodes(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("snapshot.id").alias("snapshot"), F.posexplode("characters").alias("ord", "n")).select("snapshot", "ord", "n.*")
 
@@ -81,6 +144,20 @@ def graph_edges(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("snapshot.id").alias("snapshot"), F.posexplode("relations").alias("ord", "e")).select("snapshot", "ord", "e.*")
 
 
+#: Version of the record of exchanges (fixed value).
+RECORD_VERSION = 1
+
+
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """A record of exchanges: fingerprint, step, reply, stop_reason, model, provider, input_tokens, output_tokens. Another version is refused."""
+    schema = "version int, fingerprint string, step string, reply string, stop_reason string, model string, provider string, input_tokens long, output_tokens long"
+    rows = spark.read.schema(schema).json(path)
+    other = rows.filter(~F.col("version").eqNullSafe(F.lit(RECORD_VERSION))).limit(1).collect()
+    if other:
+        raise ValueError(f"the record has version {other[0]['version']}, not {RECORD_VERSION}")
+    return rows.drop("version")
+
+
 def request_fingerprint(request: Column) -> Column:
     """SHA-256 of a request struct without its nulls, as JSON with its fields in order of name."""
     return F.sha2(F.to_json(request).cast("binary"), 256)
@@ -91,15 +168,76 @@ def answered(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFr
     return requests.join(replies.select("fingerprint", "reply"), "fingerprint"), requests.join(replies, "fingerprint", "left_anti")
 
 
+def unusable(replies: DataFrame) -> DataFrame:
+    """Why a reply (reply, stop_reason) cannot be read: cut off, refused, no JSON; in that order. Null where it can."""
+    why = F.when(F.col("stop_reason") == "max_tokens", "cut off at its limit").when(F.col("stop_reason") == "refusal", "refused").when(F.try_parse_json("reply").isNull(), "not JSON")
+    return replies.withColumn("why", why)
+
+
+@dataclass
+class Extraction:
+    """``claims``: window, at, first, second, quotation, types, verdict. ``mentions``: window, at, name, aliases, kind. ``usage``: one row: input_tokens, output_tokens, model, provider."""
+
+    claims: DataFrame
+    mentions: DataFrame
+    usage: DataFrame
+
+
+def extract(windows: DataFrame, replies: DataFrame, asserted: bool = False) -> Extraction:
+    """What was said about each window (window, fingerprint, text). A window with ink that has no usable reply fails the run.
+
+    Tokens are summed; of models the last one named counts.
+    """
+    asked = windows.filter(F.length(F.regexp_replace("text", r"(?U)\s+", "")) > 0)
+    met = unusable(asked.join(replies, "fingerprint", "left").withColumn("_none", F.col("reply").isNull()))
+    bad = met.filter("_none or why is not null").orderBy("window").limit(1).collect()
+    if bad:
+        raise ValueError(f"window {bad[0]['window']}: {'no reply is recorded' if bad[0]['_none'] else bad[0]['why']}")
+    named = F.nullif("model", F.lit(""))
+    usage = met.agg(
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        F.max_by(named, F.when(named.isNotNull(), F.col("window"))).alias("model"), F.max_by("provider", F.when(named.isNotNull(), F.col("window"))).alias("provider"),
+    )
+    said = met.select("window", "reply")
+    return Extraction(assertions_of(said) if asserted else claims_of(said), mentions_of(said), usage)
+
+
+def mentions_of(replies: DataFrame) -> DataFrame:
+    """Names in recorded replies (window, reply): window, at, name, aliases, kind. Nameless and non-object entries go; a name is no alias of itself."""
+    parsed = replies.withColumn("v", F.try_parse_json("reply"))
+    items = replies.sparkSession.sql(
+        "select window, pos as at, value as item from {r}, lateral variant_explode(variant_get(v, '$.characters', 'variant')) where v is not null and is_variant_null(variant_get(v, '$.characters', 'variant')) = false",
+        r=parsed,
+    )
+    get = lambda path, t="string": F.try_variant_get("item", path, t)
+    name = F.trim(get("$.name"))
+    aliases = F.array_distinct(F.filter(F.transform(F.coalesce(get("$.aliases", "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: (x != "") & (x != name)))
+    objects = F.schema_of_variant("item").startswith("OBJECT")
+    kind = F.coalesce(F.nullif(F.trim(get("$.kind")), F.lit("")), F.lit("unknown"))
+    return items.filter(objects & (F.coalesce(name, F.lit("")) != "")).select("window", F.col("at").cast("long").alias("at"), name.alias("name"), aliases.alias("aliases"), kind.alias("kind"))
+
+
 def claims_of(replies: DataFrame) -> DataFrame:
     """Claims in recorded replies (window, reply), each with a verdict: ``ok`` or why it is dropped.
 
     Participants must be two different non-blank strings; a number is not a string and is not made one.
     """
+    return _claims(replies, "interactions").drop("types")
+
+
+def assertions_of(replies: DataFrame) -> DataFrame:
+    """The same for statements of reference text, which say of what types a relation is (in lower case)."""
+    return _claims(replies, "relationships")
+
+
+def _claims(replies: DataFrame, key: str) -> DataFrame:
     parsed = replies.withColumn("v", F.try_parse_json("reply"))
-    bad = parsed.filter("v is null").select("window", F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("second"), F.lit(None).cast("string").alias("quotation"), F.lit("not JSON").alias("verdict"))
+    none = lambda t: F.lit(None).cast(t)
+    bad = parsed.filter("v is null").select(
+        "window", none("long").alias("at"), none("string").alias("first"), none("string").alias("second"), none("string").alias("quotation"), none("array<string>").alias("types"), F.lit("not JSON").alias("verdict")
+    )
     items = replies.sparkSession.sql(
-        "select window, pos as at, value as item from {r}, lateral variant_explode(variant_get(v, '$.interactions', 'variant')) where v is not null",
+        "select window, pos as at, value as item from {r}, lateral variant_explode(variant_get(v, '$." + key + "', 'variant')) where v is not null",
         r=parsed,
     )
     get = lambda path: F.try_variant_get("item", path, "string")
@@ -112,4 +250,6 @@ def claims_of(replies: DataFrame) -> DataFrame:
         .when(F.coalesce(F.trim(get("$.quotation")), F.lit("")) == "", "no quotation")
         .otherwise("ok")
     )
-    return items.select("window", F.col("at").cast("long").alias("at"), a.alias("first"), b.alias("second"), F.trim(get("$.quotation")).alias("quotation"), verdict.alias("verdict")).union(bad)
+    types = F.filter(F.transform(F.coalesce(F.try_variant_get("item", "$.types", "array<string>"), F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    rows = items.select("window", F.col("at").cast("long").alias("at"), a.alias("first"), b.alias("second"), F.trim(get("$.quotation")).alias("quotation"), types.alias("types"), verdict.alias("verdict"))
+    return rows.union(bad)

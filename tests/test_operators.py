@@ -18,7 +18,7 @@ def test_text_functions(spark):
     assert row["norm"] == "Ana Maria" and row["occ"] == [0, 1, 2] and row["key"] == "strasse" and row["none"] is None
     assert row["slug"] == "creme-brulee-a" and row["id"] == "rel:a--b@asserted" and row["json"] == '{"a":"é","b":2.5}' and row["n"] == 3
     ends = spark.createDataFrame([(row["id"],)], "e string").select(X.edge_ends(F.col("e")).alias("x")).first()["x"]
-    assert (ends["source"], ends["target"]) == ("a", "b")
+    assert (ends["source"], ends["target"], ends["provenance"]) == ("char:a", "char:b", "asserted")
 
 
 def test_claims_become_edges(spark):
@@ -29,7 +29,7 @@ def test_claims_become_edges(spark):
     found = edges.resolved(claims, ids)
     assert {(r["ord"], r["reason"]) for r in edges.refused(found).collect()} == {(4, "unresolved"), (5, "one entity")}
     edge = edges.aggregate_claims(found, "interaction_passages").collect()
-    assert len(edge) == 1 and edge[0]["weight"] == 2 and edge[0]["types"] == ["helps", "speaks"] and edge[0]["id"] == "rel:char:ann--char:bob"
+    assert len(edge) == 1 and edge[0]["weight"] == 2 and edge[0]["types"] == ["helps", "speaks"] and edge[0]["id"] == "rel:ann--bob"
     evidence = edges.nested_evidence(edges.evidence(found)).first()["evidence"]
     assert [(e["passage"], e["quotation"]) for e in evidence] == [(5, "first"), (None, "loose  words")]
 
@@ -59,9 +59,11 @@ def test_node_changes(spark):
 
 
 def test_merge_chains_and_cycles(spark):
-    merges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "from_id string, to_id string")
+    rows = [("char:a", "char:b"), ("char:b", "char:c"), ("x", "y"), ("y", "z"), ("z", "x"), ("t", "u"), ("u", "y")] + [(f"n{i}", f"n{i + 1}") for i in range(100)]
+    merges = spark.createDataFrame(rows, "from_id string, to_id string")
     got = {r["from_id"]: r["to_id"] for r in overlay.merge_closure(merges).collect()}
-    assert got["a"] == got["b"] == "c" and got["x"] == got["y"] == "x"
+    assert got["char:a"] == got["char:b"] == "char:c" and [got[i] for i in "xyztu"] == ["x", "y", "z", "y", "y"]
+    assert all(got[f"n{i}"] == "n100" for i in range(100)) and len(got) == len(rows)
     log = spark.createDataFrame([("rel:a--q@asserted",), ("rel:a--c",)], "id string")
     moved = {r["id"] for r in overlay.redirected_edge_ids(log, overlay.merge_closure(merges), "id").collect()}
     assert moved == {"rel:c--q@asserted", "rel:a--c"}

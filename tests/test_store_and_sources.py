@@ -54,5 +54,7 @@ def test_listing_and_addresses(spark):
     rows = spark.createDataFrame([("a", "2", True), ("a", "1", False), ("b", "3", True), ("a", "4", True)], "path string, id string, readable boolean")
     taken, skipped = files.listing(rows)
     assert {r["id"] for r in taken.collect()} == {"2", "3"} and skipped.count() == 2
-    urls = spark.createDataFrame([("https://d.example/drive/folders/abc_1?x=1",), ("https://d.example/open?id=Q9",), ("plain-id",)], "u string")
-    assert [r[0] for r in urls.select(files.folder_of(F.col("u"))).collect()] == ["abc_1", "Q9", "plain-id"]
+    urls = ["https://drive.google.com/drive/folders/abc_1?x=1", "https://drive.google.com/drive/u/0/folders/Q9/", "gdrive:folder/Z-1", " plain-id ", "https://d.example/drive/folders/abc", "https://drive.google.com/open?id=Q9", ""]
+    found = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(files.folder_of(F.col("u")), files.root_of(F.col("u")))
+    assert [r[0] for r in found.collect()] == ["abc_1", "Q9", "Z-1", "plain-id", None, None, None]
+    assert found.first()[1] == "gdrive:folder/abc_1"
