@@ -557,9 +557,9 @@ CLAIMS = """select doc_id, 0 as claim, min(pos) as pos, 'q1' as kind from a grou
 @query(f"""with b as ({BLOCKS}), a as (select doc_id, pos, passage, sum(length(passage) + 1) over (partition by doc_id order by pos) as upto, row_number() over (partition by doc_id order by pos) as nth, count(*) over (partition by doc_id) as n from b where passage <> ''),
  j as (select doc_id, string_agg(passage, ' ' order by pos) as joined, min(pos) as pos, arg_min(passage, pos) as first, arg_max(passage, pos) as last from a group by 1),
  c as (select doc_id, 0 as claim, pos, left(first, 12) as q, joined, first from j union all select doc_id, 1, pos, right(last, 25), joined, first from j union all select doc_id, 2, pos, 'zz never said zz', joined, first from j union all select doc_id, 3, pos, ' ', joined, first from j),
- v as (select doc_id, claim, pos, trim(q) as q, contains(first, trim(q)) as named, strpos(joined, trim(q)) - 1 as at from c)
- select v.doc_id, v.claim, case when q = '' then 'empty' when named then 'kept' when at >= 0 then 'relocated' else 'not in the source' end as verdict,
-  (case when q <> '' and not named and at >= 0 then (select max(a.pos) from a where a.doc_id = v.doc_id and a.upto - length(a.passage) - 1 <= v.at) else v.pos end)::bigint as pos from v""")
+ v as (select doc_id, claim, pos, trim(q) as q, contains(first, trim(q)) as named, strpos(joined, trim(q)) - 1 as hit from c)
+ select v.doc_id, v.claim, case when q = '' then 'empty' when named then 'kept' when hit >= 0 then 'relocated' else 'not in the source' end as verdict,
+  (case when q <> '' and not named and hit >= 0 then (select max(a.pos) from a where a.doc_id = v.doc_id and a.upto - length(a.passage) - 1 <= v.hit) else v.pos end)::bigint as pos from v""")
 def verify_claims(spark, d):
     """Claims that their passage holds, that another passage may hold, that no text holds, and that say nothing."""
     docs = read(spark, d, "documents").select("doc_id", "text")
@@ -692,10 +692,10 @@ def occurrence_counts(spark, d):
     return read(spark, d, "documents").select("doc_id", X.count_occurrences(F.col("text"), F.lit("th")).alias("n"))
 
 
-@query("select o_orderkey::bigint as k, least(8192 + 48 * (o_orderkey % 700), 32768)::bigint as budget, greatest(8192, least(32768, (o_totalprice::bigint // 3) + 4096 + 512))::bigint as context from orders")
+@query("select o_orderkey::bigint as k, least(8192 + 48 * (o_orderkey % 700), 32768)::bigint as budget, greatest(8192, least(32768, (floor(o_totalprice)::bigint // 3) + 4096 + 512))::bigint as context from orders")
 def reply_budgets(spark, d):
     o = read(spark, d, "orders")
-    return o.select(long("o_orderkey").alias("k"), long(resolve.token_budget(F.col("o_orderkey") % 700)).alias("budget"), long(resolve.context_size(F.expr("cast(round(o_totalprice) as bigint)"), F.lit(4096))).alias("context"))
+    return o.select(long("o_orderkey").alias("k"), long(resolve.token_budget(F.col("o_orderkey") % 700)).alias("budget"), long(resolve.context_size(F.floor("o_totalprice"), F.lit(4096))).alias("context"))
 
 
 @query("""with p as (select a.s_suppkey as x, b.s_suppkey as y, case when (a.s_suppkey + b.s_suppkey) % 3 = 0 then 'asserted' else 'observed' end as p from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey)

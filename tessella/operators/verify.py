@@ -71,11 +71,11 @@ def found_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     characters. Texts give their distinct parts as hashes, without the text beside them; those with all parts
     of a quotation are then compared once. Null or empty quotations are nowhere.
     """
-    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    pairs = lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
     grams = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, F.lit(n)))
     hashed = lambda parts, kind: F.array_distinct(F.transform(parts, lambda x: F.xxhash64(F.lit(kind), x)))
     q = quotes.select("item_id", normalise_whitespace(F.col("text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " ")).distinct()
-    inner = F.slice("w", 2, F.size("w") - 2)
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
     kinds = {"pair": F.size("w") >= 4, "word": F.size("w") == 3, **{f"gram{n}": (F.size("w") <= 2) & (F.length("q") >= n if n == GRAM else F.length("q") == n) for n in range(1, GRAM + 1)}}
     parts = {"pair": pairs(inner), "word": inner, **{f"gram{n}": grams(F.col("q"), n) for n in range(1, GRAM + 1)}}
     some = [k for k, there in zip(kinds, q.agg(*[F.count_if(c) for c in kinds.values()]).first()) if there]
