@@ -187,7 +187,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 #: Of the stage that keeps one text of each group: bits that candidates may differ in, blocks, words of a shingle, least similarity.
-WIDE_DISTANCE, WIDE_BLOCKS = 5, 9
+WIDE_DISTANCE, WIDE_BLOCKS = 3, 6
 EXACT_SHINGLE, SIMILARITY = 5, 0.8
 #: Keys that the pairs of one text are dealt over.
 SALTS = 64
