@@ -75,4 +75,52 @@ DECONTAMINATION = r"""with x as (select row_number() over () as id, doc_id, list
 select doc_id, len(w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(t.n, 0)::bigint as n_items, sha256(coalesce(t.s, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
  from x left join h using (id) left join t using (id)"""
 
-ORACLES = {"op3_warc": WARC, "op7_decontamination": DECONTAMINATION, "op8_quality_rules": QUALITY, "op10_chat_format": CHAT}
+
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _gap(x: str, y: str) -> str:
+    return f"list_sum(list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+
+
+def _floor(total: str, n: str) -> str:
+    return f"(({total} - (({total} % {n}) + {n}) % {n}) // {n})::bigint"
+
+
+def _rounds(rounds: int, keys: str) -> str:
+    """CTEs c1, c2, ... of centroids (``keys``, c, v) from c0, vectors k (id, ``keys``, v), and the last assignment a<rounds>."""
+    on = "using (" + keys.rstrip(", ") + ")" if keys else "on true"
+    own = "".join(f" and c.{x} = s.{x}" for x in keys.rstrip(", ").split(", ") if x)
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""a{r} as materialized (select id, {keys}min(d * 16 + c) % 16 as c, min(d) as d from
+ (select k.id, {keys}c.c, {_gap('k.v', 'c.v')} as d from k join c{r} c {on}) group by all)""")
+        if r < rounds:
+            out.append(f"""c{r + 1} as materialized (select {''.join(f'c.{x}, ' for x in keys.rstrip(', ').split(', ') if x)}c.c, coalesce(s.v, c.v) as v from c{r} c left join
+ (select {keys}c, list(x order by i) as v from (select {keys}c, i, {_floor('sum(x)', 'count(*)')} as x from
+  (select {keys}a.c, unnest(k.v) as x, unnest(range(len(k.v))) as i from a{r} a join k using (id{', ' + keys.rstrip(', ') if keys else ''})) group by all) group by all) s on c.c = s.c{own})""")
+    return ", ".join(out)
+
+
+CLUSTERS = f"""with k as materialized (select row_number() over () as id, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings where {_FINITE} and len(embedding) = 64),
+ c0 as materialized (select row_number() over (order by h, v) - 1 as c, v from (select sha256('1:' || vec_id) as h, v from k) order by h, v limit 16),
+ {_rounds(3, '')}
+select k.vec_id, a.c::int as cluster, a.d as distance, (sum(a.d) over (partition by a.c))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia,
+ sha256(array_to_string(c.v, ',')) as centroid_sha256 from a3 a join k using (id) join c3 c on a.c = c.c"""
+
+CODES = f"""with w as materialized (select row_number() over (order by vec_id, embedding) as id, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings where {_FINITE}),
+ k as materialized (select id, p, v[8 * p + 1 : 8 * p + 8] as v from w, range(8) t(p)),
+ c0 as materialized (select p, id - 1 as c, v from k where id <= 16),
+ {_rounds(6, 'p, ')},
+ f as (select id, string_agg(printf('%02x', c), '' order by p) as code, sum(d)::bigint as error from a6 group by id)
+select w.vec_id, w.label, f.code, f.error, (sum(f.error) over (partition by w.label))::bigint as label_error,
+ (select sha256(string_agg(array_to_string(v, ','), ',' order by p, c)) from c6) as codebooks_sha256 from f join w using (id)"""
+
+ORACLES = {
+    "op3_warc": WARC,
+    "op7_decontamination": DECONTAMINATION,
+    "op8_quality_rules": QUALITY,
+    "op10_chat_format": CHAT,
+    "op11_dual_tree_clusters": CLUSTERS,
+    "op12_vector_codes": CODES,
+}
