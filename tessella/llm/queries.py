@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bytedups, chat, clustering, decontamination, katz, packing, passages, quality, simhash, tokencounts, vectorcodes, warc
+from tessella.llm import bytedups, chat, clustering, decontamination, katz, maintext, packing, passages, quality, simhash, tokencounts, vectorcodes, warc
 from tessella.llm.common import table
 from tessella.llm.oracles import ORACLES  # noqa: F401
 
@@ -19,4 +19,5 @@ QUERIES = {
     "op10_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
     "op11_dual_tree_clusters": lambda spark, d: clustering.clusters(table(spark, d, "embeddings")),
     "op12_vector_codes": lambda spark, d: vectorcodes.compressed(table(spark, d, "embeddings")),
+    "op13_main_text": lambda spark, d: maintext.extracted(table(spark, d, "pages")),
 }
