@@ -154,7 +154,7 @@ def forest(fps, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _refiled(blocks: int, distance: int):
+def _refiled(blocks: int, distance: int, carried: tuple | list = ("fp",)):
     def refile(frames):
         for pdf in frames:
             out = []
@@ -163,7 +163,7 @@ def _refiled(blocks: int, distance: int):
                 fps = own["fp"].to_numpy()
                 for more in _masks(bits, blocks, blocks - distance):
                     m = _signed((int(mask) & (1 << 64) - 1) | more)
-                    out.append(pd.DataFrame({"fp": fps, "mask": m, "key": fps & np.int64(m)}))
+                    out.append(own[list(carried)].assign(mask=np.int64(m), key=fps & np.int64(m)))
             if out:
                 yield pd.concat(out)
 
@@ -232,20 +232,114 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return out
 
 
+def _few(filed: DataFrame, distance: int, blocks: int, group_limit: int) -> DataFrame:
+    """Rows (mask, key, fp, node) of all groups of two or more; larger ones are filed again, unless the open bits admit no distance beyond the limit."""
+    done = None
+    while True:
+        several = stored(filed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+        small = (F.col("n") <= group_limit) | (F.bit_count("mask") >= 64 - distance)
+        found = filed.join(several.filter(small), ["mask", "key"]).select("mask", "key", "fp", "node")
+        done = found if done is None else done.union(found)
+        large = several.filter(~small).select("mask", "key")
+        if not large.limit(1).count():
+            return done
+        again = filed.join(large, ["mask", "key"]).select("mask", "fp", "node")
+        schema = "mask long, key long, fp long, node long"
+        filed = stored(again.mapInPandas(_refiled(blocks, distance, ["fp", "node"]), schema).distinct())
+
+
+def _proposed(distance: int, low: int, high: int):
+    """Over rows (mask, key, fp, node, root) sorted by all: of each node the close ones after it, counted from 1, above ``low`` up to ``high``, with another root.
+
+    Returns pairs (a, b), and (mask, key) of groups where such a pair comes later in the count.
+    """
+
+    def scan(batches):
+        rest = [np.zeros(0, np.int64)] * 5
+        for batch in batches:
+            rows = [np.concatenate((r, c.to_numpy())) for r, c in zip(rest, batch.columns)]
+            new = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+            cut = int(new[-1]) if len(new) else 0
+            yield from emit([r[:cut] for r in rows], new[:-1])
+            rest = [r[cut:] for r in rows]
+        yield from emit(rest, np.zeros(0, np.int64))
+
+    def emit(rows, inner):
+        out = []
+        for mask, key, fp, node, root in zip(*(np.split(r, inner) for r in rows)):
+            if len(fp) < 2 or (root == root[0]).all():
+                continue
+            later = False
+            for at in range(len(fp) - 1):
+                near = at + 1 + np.flatnonzero(np.bitwise_count((fp[at + 1 :] ^ fp[at]).view(np.uint64)) <= distance)
+                other = root[near] != root[at]
+                turn = np.arange(1, len(near) + 1)
+                out += [(int(node[at]), int(x), None, None) for x in node[near[other & (turn > low) & (turn <= high)]]]
+                later = later or bool((other & (turn > high)).any())
+            if later:
+                out.append((None, None, int(mask[0]), int(key[0])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b", "mask", "key"])
+
+    return scan
+
+
+def similar(nodes: DataFrame, texts: DataFrame, distance: int, blocks: int, similarity: float, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Edges (a, b) between ``nodes`` (node, fp) whose fingerprints are within ``distance`` bits and whose ``texts`` (fp: the node, text) are similar.
+
+    They connect what all such pairs connect. A pair is judged by its texts before it counts as a link: each node
+    proposes the next of its close ones, then the next two, four and so on, as long as any of them is not connected to it.
+    """
+    masks = _masks(list(range(64)), blocks, blocks - distance)
+    keys = [F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks]
+    filed = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select("k.mask", "k.key", "fp", "node")
+    work = stored(_few(filed, distance, blocks, group_limit))
+    edges, roots, low, high = None, None, 0, 1
+    while True:
+        rooted = work.withColumn("root", F.col("node")) if roots is None else work.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        dealt = rooted.select("mask", "key", "fp", "node", "root").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
+        found = stored(dealt.mapInArrow(_proposed(distance, low, high), "a long, b long, mask long, key long"))
+        good = verified(found.filter("a is not null").select("a", "b").distinct(), texts, similarity)
+        edges = good if edges is None else edges.union(good)
+        later = found.filter("mask is not null").select("mask", "key")
+        if not later.limit(1).count():
+            return edges
+        roots = stored(components(edges))
+        work = stored(work.join(later, ["mask", "key"], "left_semi"))
+        low, high = high, 2 * high + 1
+
+
+def of_equal_prints(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) from the smallest node of each fingerprint to those similar to it; the others of that fingerprint go on among themselves."""
+    left, edges = nodes.select("fp", "node"), None
+    while True:
+        heads = left.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+        asked = stored(left.join(heads, "fp").filter("node > a").select("fp", "a", F.col("node").alias("b")))
+        if edges is not None and not asked.limit(1).count():
+            return edges
+        good = verified(asked.select("a", "b"), texts, similarity)
+        edges = good if edges is None else edges.union(good)
+        left = asked.join(good, ["a", "b"], "left_anti").select("fp", F.col("b").alias("node"))
+
+
 def deduplicated(docs: DataFrame, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id (where that repeats, the longest text).
 
-    Texts of equal fingerprints are one group; those whose fingerprints differ in at most ``distance`` bits join it where their
-    five-word shingles are similar enough. Rows are numbered as they are written; the number stands for a row
-    where ids repeat or are null.
+    Texts are linked where their fingerprints differ in at most ``distance`` bits and their five-word shingles are
+    similar; equal fingerprints are judged like others. Of a fingerprint's texts those similar to the smallest (by hash) are one
+    class, and the classes' smallest texts meet those of other fingerprints. Texts are named by their hash; rows
+    are numbered as they are written, and the number stands for a row where ids repeat or are null.
     """
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", F.length(F.coalesce("text", F.lit(""))).alias("size"))
-    prints = stored(fingerprinted(packed, keep_text=False).withColumn("number", F.expr("uuid()")))
+    named = packed.withColumn("node", F.xxhash64("text"))
+    prints = stored(fingerprinted(named, keep_text=False).withColumn("number", F.expr("uuid()")))
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), (-F.col("size")).alias("size"), "number")
-    best = stored(prints.groupBy("fp").agg(F.min(rank).alias("rank")))
-    near = links(best.select("fp"), distance, blocks).distinct()
-    texts = prints.join(best.select(F.col("rank.number").alias("number")), "number", "left_semi").select("fp", F.col("row.text").alias("text"))
-    roots = components(verified(near, texts, similarity))
-    rooted = best.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("rank", F.coalesce("root", "fp").alias("root"))
+    best = stored(prints.groupBy("fp", "node").agg(F.min(rank).alias("rank")))
+    shown = prints.join(best.select(F.col("rank.number").alias("number")), "number", "left_semi")
+    texts = shown.select(F.col("node").alias("fp"), F.col("row.text").alias("text"))
+    equal = of_equal_prints(best, texts, similarity)
+    heads = best.select("node", "fp").join(equal.select(F.col("b").alias("node")), "node", "left_anti")
+    roots = components(equal.union(similar(stored(heads), texts, distance, blocks, similarity)))
+    rooted = best.join(roots, "node", "left").select("rank", F.coalesce("root", "node").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.number").alias("number"))
     return prints.join(keep, "number", "left_semi").select("row.*")

@@ -122,3 +122,63 @@ def test_the_stage_keeps_one_of_similar_texts_and_both_of_unlike_ones(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     texts = spark.createDataFrame([(1, rows[0][1]), (2, rows[1][1]), (3, rows[2][1])], "fp long, text string")
     assert [tuple(r) for r in simhash.verified(edges, texts).collect()] == [(1, 2)]
+
+
+def rejected_in_the_middle():
+    """Fingerprints 0, 1, 2: the text of 0 is unlike those of 1 and 2, which are alike."""
+    rnd = random.Random(32)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    close = [*base[:200], "changed", *base[201:]]
+    other = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    return [(10, 0, " ".join(other)), (11, 1, " ".join(base)), (12, 2, " ".join(close))]
+
+
+def pairs_alike(rows, distance, similarity):
+    out = []
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and ((x[1] ^ y[1]) & (1 << 64) - 1).bit_count() <= distance:
+                a, b = (set(simhash.shingle_set(t[2]).tolist()) for t in (x, y))
+                if len(a & b) >= similarity * len(a | b):
+                    out.append((x[0], y[0]))
+    return out
+
+
+def roots_of(nodes, pairs):
+    at = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            at[a] = at[b] = min(at[a], at[b])
+    return at
+
+
+def test_links_are_judged_before_they_connect(spark):
+    """Against all pairs, on groups of close fingerprints whose texts fall into unlike families."""
+    rnd = random.Random(33)
+    rows, number = [], 100
+    for _ in range(12):
+        seed = simhash._signed(rnd.getrandbits(64))
+        families = [[f"w{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(rnd.randint(1, 4))]
+        for _ in range(rnd.randint(3, 14)):
+            text = list(rnd.choice(families))
+            text[rnd.randrange(60)] = f"x{rnd.randrange(9)}"
+            rows.append((number, simhash._signed((seed ^ (1 << rnd.randrange(3)) ^ (1 << rnd.randrange(8))) & (1 << 64) - 1), " ".join(text)))
+            number += 1
+    for given, limit in ((rejected_in_the_middle(), 1024), (rows, 1024), (rows, 4)):
+        nodes = spark.createDataFrame([r[:2] for r in given], "node long, fp long")
+        texts = spark.createDataFrame([(n, t) for n, _, t in given], "fp long, text string")
+        edges = [tuple(r) for r in simhash.similar(nodes, texts, 3, 6, 0.8, limit).collect()]
+        want = pairs_alike(given, 3, 0.8)
+        assert {tuple(sorted(e)) for e in edges} <= set(want) and want
+        ids = [r[0] for r in given]
+        assert roots_of(ids, edges) == roots_of(ids, want)
+
+
+def test_equal_prints_of_unlike_texts_are_kept_apart(spark):
+    rnd = random.Random(34)
+    make = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+    a, b = make(), make()
+    rows = [(i, 7, " ".join([*x, f"t{i}"])) for i, x in enumerate([a, b, a, b, make()])]
+    nodes = spark.createDataFrame([r[:2] for r in rows], "node long, fp long")
+    texts = spark.createDataFrame([(n, t) for n, _, t in rows], "fp long, text string")
+    assert sorted(tuple(r) for r in simhash.of_equal_prints(nodes, texts, 0.8).collect()) == [(0, 2), (1, 3)]
