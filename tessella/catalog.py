@@ -483,20 +483,49 @@ def doc_similarity(spark, d):
     return continuity.revision_proposals(docs.select(F.col("item_id").alias("ord"), path.alias("path"), F.col("text").alias("content")))
 
 
-FIRST_WORDS = "select distinct regexp_extract(lower(text), '[a-z]+') as form from benchmark where regexp_extract(lower(text), '[a-z]+') <> ''"
+WORD_RUN = r"[\p{L}\p{N}_]+"
 
 
-@query(f"""with t as ({FIRST_WORDS}), p as (select form, source, lang, count(*) as n from documents, t where regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || form || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') group by all),
- b as (select form, list_sort(list(distinct source)) as was from p where lang in ('en', 'fr') group by 1), a as (select form, list_sort(list(distinct source)) as now from p where lang in ('de', 'fr') group by 1)
- select form, array_to_string(list_sort(list_filter(was, lambda x: not list_contains(now, x))), ',') as retired, array_to_string(now, ',') as remaining from a join b using (form) where len(list_filter(was, lambda x: not list_contains(now, x))) > 0""")
+@query(rf"""with forms as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as form from benchmark),
+ p as (select distinct lang, source, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD_RUN}'))) as form from documents),
+ b as (select form, list_sort(list(distinct source)) as was from p join forms using (form) where lang in ('en', 'fr') group by 1),
+ a as (select form, list_sort(list(distinct source)) as now from p join forms using (form) where lang in ('de', 'fr') group by 1)
+ select form, array_to_string(list_filter(was, lambda x: not list_contains(now, x)), ',') as retired, array_to_string(now, ',') as remaining
+ from a join b using (form) where len(list_filter(was, lambda x: not list_contains(now, x))) > 0""")
 def stale_terms(spark, d):
+    """All words of the benchmark: which left some sources and stay in others."""
     docs = read(spark, d, "documents").select("lang", F.col("source").alias("path"), F.col("text").alias("content"))
-    forms = read(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("form")).distinct().filter("form <> ''")
+    forms = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("form")).distinct()
     before, after = (continuity.presence(forms, docs.filter(F.col("lang").isin(*langs))) for langs in (("en", "fr"), ("de", "fr")))
     found = continuity.stale_names(before, after)
     return found.select("form", F.array_join("retired", ",").alias("retired"), F.array_join("remaining", ",").alias("remaining"))
 
 
+@query(rf"""with forms as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as form from benchmark),
+ w as (select doc_id, unnest(regexp_extract_all(lower(text), '{WORD_RUN}')) as form from documents)
+ select w.doc_id, w.form, count(*)::bigint as n from w join forms using (form) group by all""")
+def name_presence(spark, d):
+    """How often each word of the benchmark stands in each document."""
+    forms = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("form")).distinct()
+    found = continuity.presence(forms, read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "form", "n")
+
+
+@query("""with forms as (select distinct array_to_string(string_split(lower(text), ' ')[1:3], ' ') as form from benchmark),
+ t as (select doc_id, lower(text) as t, text from documents where text is not null),
+ m as (select doc_id, form, t, text, string_split(t, form) as parts from t join forms on contains(t, form)),
+ o as (select doc_id, form, t, text, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x)))::bigint + (k - 1) * length(form))) as place from m)
+ select doc_id, form, place::bigint as place, substr(text, place::int + 1, length(form)) as exact, length(substr(text, greatest(place - 40, 0)::int + 1, least(place, 40)::int))::bigint as n_before,
+  sha256(substr(text, place::int + length(form) + 1, 40)) as after_sha256
+ from o where (place = 0 or not regexp_matches(substr(t, place::int, 1), '[\p{L}\p{N}_]')) and not regexp_matches(substr(t, place::int + length(form) + 1, 1), '[\p{L}\p{N}_]')""")
+def name_places(spark, d):
+    """Where the first three words of each benchmark item stand in the documents, as a phrase."""
+    words = F.slice(F.split(F.lower("text"), " "), 1, 3)
+    forms = read(spark, d, "benchmark").select(F.array_join(words, " ").alias("form")).distinct()
+    found = continuity.form_places(forms, read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "form", F.col("at").alias("place"), "exact", F.length("before").cast("long").alias("n_before"), F.sha2(F.col("after").cast("binary"), 256).alias("after_sha256"))
+
+
 @query("""select page_id::bigint as page_id, case when page_id % 4 = 0 then 1 else 0 end::bigint as n,
  sha256(html || case page_id % 4 when 0 then ' image/png left out, 600 bytes of base64> and prose goes on' when 1 then ' data:image/png;base64,' || repeat('A', 100) || ') and prose goes on' else '' end) as text_sha256 from pages""")
 def image_payloads(spark, d):

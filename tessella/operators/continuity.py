@@ -2,52 +2,119 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import edge_context, normalise_whitespace, word_occurrences
+from tessella.functions.text import edge_context, normalise_whitespace
 from tessella.operators.anchors import reanchored
 from tessella.operators.opening import require_reproducible
 
 
-WORDS = r"(?U)\w+"
+#: Characters of names that one automaton holds (about 100 bytes of memory each); more names are sought in further passes.
+BLOCK_CHARS = 500_000
+
+
+class _Folds(dict):
+    """Each character in the one case that stands for it; those whose other case is longer stand for themselves, so places stay."""
+
+    def __missing__(self, code: int) -> int:
+        other = chr(code).upper().lower()
+        self[code] = ord(other) if len(other) == 1 else code
+        return self[code]
+
+
+FOLDS = _Folds()
+
+
+def _automaton(forms: list[str]) -> ahocorasick.Automaton:
+    found: dict[str, list[str]] = {}
+    for form in forms:
+        found.setdefault(form.translate(FOLDS), []).append(form)
+    made = ahocorasick.Automaton()
+    for key, own in found.items():
+        made.add_word(key, (len(key), own))
+    made.make_automaton()
+    return made
+
+
+def places(automaton: ahocorasick.Automaton, text: str):
+    """(form, start) of every form that stands in ``text`` as a word of its own, in any case; those of one form do not overlap."""
+    folded, past = text.translate(FOLDS), {}
+    inside = lambda i: 0 <= i < len(folded) and (folded[i].isalnum() or folded[i] == "_")
+    for last, (size, forms) in automaton.iter(folded):
+        start = last + 1 - size
+        if inside(start - 1) or inside(last + 1):
+            continue
+        for form in forms:
+            if start >= past.get(form, 0):
+                past[form] = last + 1
+                yield form, start
+
+
+def _blocks(forms: DataFrame):
+    """The names in lists of at most BLOCK_CHARS characters, one after another."""
+    block, size = [], 0
+    for row in forms.select("form").filter(F.trim("form") != "").distinct().toLocalIterator():
+        if block and size + len(row["form"]) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append(row["form"])
+        size += len(row["form"])
+    if block:
+        yield block
+
+
+def _scan(forms: DataFrame, docs: DataFrame, emit, schema: str) -> DataFrame:
+    """Rows of ``emit(path, text, places)``: texts (path, content) are streamed through an automaton of all names, built in the tasks."""
+    spark, found = docs.sparkSession, None
+    asked = docs.select(F.col("path").cast("string").alias("path"), "content").filter("content is not null")
+    for block in _blocks(forms):
+        names = spark.sparkContext.broadcast(block)
+
+        def scan(batches, names=names):
+            automaton = _automaton(names.value)
+            for batch in batches:
+                rows = []
+                for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    rows += emit(path, text, places(automaton, text))
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=columns), preserve_index=False)
+
+        columns = [c.split()[0] for c in schema.split(", ")]
+        own = asked.mapInArrow(scan, schema)
+        found = own if found is None else found.union(own)
+    return found if found is not None else spark.createDataFrame([], schema)
 
 
 def presence(forms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(form, path, n): how often each form stands as a word in each document.
+    """(form, path, n): how often each form stands as a word in the documents of a path. Each text is read once, whatever the number of forms."""
 
-    A form stands only where its first word does, so documents give their distinct words and forms meet them on that;
-    only those pairs are compared. A form without any word is sought everywhere.
-    """
-    names = forms.select("form").distinct().withColumn("word", F.nullif(F.regexp_extract(F.lower("form"), WORDS, 0), F.lit("")))
-    words = docs.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(WORDS), F.lit(0)))).alias("word"))
-    met = words.join(names, "word").select("form", "path")
-    odd = names.filter("word is null and trim(form) <> ''").select("form")
-    if odd.limit(1).count():
-        met = met.union(docs.join(odd, F.contains("content", "form")).select("form", "path"))
-    counted = met.join(docs.select("path", "content"), "path").select("form", "path", word_occurrences(F.col("content"), F.col("form")).alias("n"))
-    return counted.filter("n > 0")
+    def count(path, text, found):
+        return [(form, path, n) for form, n in Counter(form for form, _ in found).items()]
+
+    return _scan(forms, docs, count, "form string, path string, n long").groupBy("form", "path").agg(F.sum("n").alias("n"))
+
+
+def form_places(forms: DataFrame, docs: DataFrame, reach: int = 40) -> DataFrame:
+    """Every place of every form: form, path, at, before, exact, after (up to ``reach`` characters on either side)."""
+
+    def tell(path, text, found):
+        return [(form, path, at, text[max(0, at - reach) : at], text[at : at + len(form)], text[at + len(form) : at + len(form) + reach]) for form, at in found]
+
+    return _scan(forms, docs, tell, "form string, path string, at long, before string, exact string, after string")
 
 
 def locations(stale: DataFrame, docs: DataFrame, reach: int = 40) -> DataFrame:
     """Every place where a stale form (form, remaining) still stands: form, path, at, prefix, exact, suffix."""
-
-    @F.udf("array<int>", useArrow=True)
-    def places(text, form):
-        return [m.start() for m in re.finditer(rf"(?<!\w){re.escape(form)}(?!\w)", text, re.I)]
-
-    asked = stale.select("form", F.explode("remaining").alias("path")).join(docs.select("path", "content"), "path")
-    at = asked.select("form", "path", "content", F.explode(places("content", "form")).alias("at"))
-    end = F.col("at") + F.length("form")
-    begin = F.greatest(F.lit(0), F.col("at") - reach)
-    return at.select(
-        "form", "path", "at", edge_context(F.substr("content", begin + 1, F.col("at") - begin), "end").alias("prefix"),
-        F.substr("content", F.col("at") + 1, F.length("form")).alias("exact"), edge_context(F.substr("content", end + 1, F.lit(reach)), "start").alias("suffix"),
-    )
+    asked = stale.select("form", F.explode("remaining").alias("path"))
+    there = form_places(stale, docs.join(asked.select("path").distinct(), "path", "left_semi"), reach).join(asked, ["form", "path"], "left_semi")
+    return there.select("form", "path", "at", edge_context(F.col("before"), "end").alias("prefix"), "exact", edge_context(F.col("after"), "start").alias("suffix"))
 
 
 def stale_names(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import normalise_whitespace
-from tessella.operators.anchors import reanchor
+from tessella.operators.anchors import reanchored
 from tessella.operators.continuity import revision_proposals
 
 #: Roles that may be confirmed, and what stands where there is none yet (fixed values).
@@ -22,41 +22,53 @@ class StructureError(ValueError):
     """Answers that cannot be confirmed."""
 
 
-def divided(text: str, begins: str, ends: str, role: str) -> dict:
-    """Regions of a normalised text at the quotations where its narrative begins and ends; undivided, with a note, where they do not fit."""
-    region = lambda label, what, a, b, first="", last="": {"label": label, "role": what, "starts_at": a, "ends_at": b, "begins_with": first, "ends_with": last}
-    whole = {"regions": [region("whole document", role, 0, len(text))], "note": None}
-    places = {}
-    for side, quote in (("begin", begins), ("end", ends)):
-        if quote.strip():
-            places[side] = reanchor(text, quote)
-            if places[side] is None:
-                return whole | {"note": f"a boundary is not in the document: {quote[:60]!r}"}
-    if not places:
-        return whole
-    a = places["begin"]["start"] if "begin" in places else 0
-    b = places["end"]["end"] if "end" in places else len(text)
-    if b <= a:
-        return whole | {"note": "the narrative would end before it begins: nothing was divided"}
-    around = [(0, a, "before the narrative"), (b, len(text), "after the narrative")]
-    before, after = ([region(label, "reference", x, y)] if x < y else [] for x, y, label in around)
-    return {"regions": [*before, region("narrative", role, a, b, begins, ends), *after], "note": None}
-
-
-def regions(text: Column, begins: Column, ends: Column, role: Column) -> Column:
-    """The same as a column over any texts: struct regions, note. A text without boundaries stays in the JVM."""
-
-    @F.udf(REGIONS, useArrow=True)
-    def cut(t, a, b, r):
-        return divided(t, a or "", b or "", r)
-
-    normal = normalise_whitespace(F.coalesce(text, F.lit("")))
-    whole = F.struct(
-        F.array(F.struct(F.lit("whole document").alias("label"), role.alias("role"), F.lit(0).alias("starts_at"), F.length(normal).alias("ends_at"), F.lit("").alias("begins_with"), F.lit("").alias("ends_with"))).alias("regions"),
-        F.lit(None).cast("string").alias("note"),
+def divided(rows: DataFrame, text: str, begins: Column, ends: Column, role: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: the regions of a text, normalised, at the quotations where its narrative begins and ends (struct regions, note).
+
+    Undivided, with a note, where a quotation is not there or the narrative would end before it begins.
+    """
+    quotes = [F.coalesce(q, F.lit("")) for q in (begins, ends)]
+    asked = rows.withColumn("_normal", normalise_whitespace(F.coalesce(F.col(text), F.lit(""))))
+    asked = asked.withColumns({"_begin_quote": quotes[0], "_end_quote": quotes[1], "_region_role": role})
+    for side in ("begin", "end"):
+        asked = _anchored(asked, f"_{side}_quote", f"_{side}")
+    return asked.withColumn(out, _regions(F.col("_normal"), [F.col("_begin_quote"), F.col("_end_quote")], [F.col("_begin"), F.col("_end")], F.col("_region_role"))).drop(
+        "_normal", "_begin_quote", "_end_quote", "_region_role", "_begin", "_end"
+    )
+
+
+def _anchored(rows: DataFrame, quote: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: where the quotation is in ``_normal``."""
+    asked = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("kept"), F.col("_normal").alias("text"), F.col(quote).alias("exact"))
+    none = {"prefix": F.lit(""), "suffix": F.lit(""), "hint": F.lit(None).cast("int")}
+    return reanchored(asked.withColumns(none)).select("kept.*", F.col("anchor").alias(out))
+
+
+def _region(label: str, role: Column, start: Column, end: Column, *quotes: Column) -> Column:
+    names = ("label", "role", "starts_at", "ends_at", "begins_with", "ends_with")
+    values = (F.lit(label), role, start, end, *(quotes or (F.lit(""), F.lit(""))))
+    return F.struct(*[c.alias(n) for n, c in zip(names, values)])
+
+
+def _whole(normal: Column, role: Column) -> Column:
+    return F.array(_region("whole document", role, F.lit(0), F.length(normal)))
+
+
+def _regions(normal: Column, quotes: list[Column], places: list[Column], role: Column) -> Column:
+    given = [F.trim(q) != "" for q in quotes]
+    lacking = [g & p.isNull() for g, p in zip(given, places)]
+    a = F.coalesce(places[0]["start"], F.lit(0))
+    b = F.coalesce(places[1]["end"], F.length(normal))
+
+    whole = _whole(normal, role)
+    around = [_region("before the narrative", F.lit("reference"), F.lit(0), a), _region("narrative", role, a, b, *quotes), _region("after the narrative", F.lit("reference"), b, F.length(normal))]
+    parts = F.filter(F.array(*around), lambda r: (r["starts_at"] < r["ends_at"]) | (r["label"] == "narrative"))
+    missing = F.when(lacking[0], quotes[0]).when(lacking[1], quotes[1])
+    note = F.when(missing.isNotNull(), F.concat(F.lit("a boundary is not in the document: '"), F.left(missing, F.lit(60)), F.lit("'"))).when(
+        b <= a, "the narrative would end before it begins: nothing was divided"
     )
-    plain = (F.trim(F.coalesce(begins, F.lit(""))) == "") & (F.trim(F.coalesce(ends, F.lit(""))) == "")
-    return F.when(plain, whole).otherwise(cut(normal, begins, ends, role))
+    split = given[0] | given[1]
+    return F.struct(F.when(split & note.isNull(), parts).otherwise(whole).alias("regions"), F.when(split, note).alias("note")).cast(REGIONS)
 
 
 def proposed(docs: DataFrame) -> DataFrame:
@@ -77,7 +89,7 @@ def proposed(docs: DataFrame) -> DataFrame:
     return joined.select(
         "ord", "path", size.cast("long").alias("characters"), F.lit(UNKNOWN).alias("role"), F.lit("needs the text read").alias("role_basis"), F.lit(False).alias("role_settled"),
         F.lit("section").alias("addressing"), F.lit(True).alias("addressing_settled"), "revision_of", basis.alias("revision_basis"),
-        regions(F.col("content"), F.lit(""), F.lit(""), F.lit(UNKNOWN)).getField("regions").alias("regions"), F.lit(None).cast("string").alias("note"),
+        _whole(normalise_whitespace(F.coalesce("content", F.lit(""))), F.lit(UNKNOWN)).alias("regions"), F.lit(None).cast("string").alias("note"),
     )
 
 
@@ -87,7 +99,7 @@ def answered(plans: DataFrame, docs: DataFrame, answers: DataFrame) -> DataFrame
     joined = plans.join(a, "path", "left").join(docs.select("path", "content"), "path", "left")
     said = F.coalesce(F.col("_said"), F.lit(False))
     role = F.when(F.coalesce("_role", F.lit("unsure")) == "unsure", UNKNOWN).otherwise(F.col("_role"))
-    cut = joined.withColumn("_cut", F.when(said, regions(F.col("content"), F.col("begins"), F.col("ends"), role)))
+    cut = divided(joined, "content", F.col("begins"), F.col("ends"), role, "_cut")
     new = {
         "role": F.when(said, role).otherwise(F.col("role")),
         "role_basis": F.when(said, F.concat(F.lit("read: "), F.coalesce(F.nullif("_why", F.lit("")), F.lit("no reason given")))).otherwise(F.col("role_basis")),
@@ -132,7 +144,8 @@ def restored(plans: DataFrame, docs: DataFrame, saved: DataFrame) -> DataFrame:
     joined = plans.join(s, "path", "left").join(docs.select("path", "content"), "path", "left")
     had = F.col("_role").isNotNull()
     mark = F.get(F.filter("_regions", lambda r: (r["begins_with"] != "") | (r["ends_with"] != "")), F.lit(0))
-    cut = joined.withColumn("_mark", mark).withColumn("_cut", F.when(had & F.col("_mark").isNotNull(), regions(F.col("content"), F.col("_mark.begins_with"), F.col("_mark.ends_with"), F.col("_mark.role"))))
+    cut = divided(joined.withColumn("_mark", mark), "content", F.col("_mark.begins_with"), F.col("_mark.ends_with"), F.col("_mark.role"), "_cut")
+    cut = cut.withColumn("_cut", F.when(had & F.col("_mark").isNotNull(), F.col("_cut")))
     new = {
         "role": F.coalesce("_role", "role"), "role_basis": F.coalesce("_basis", "role_basis"), "role_settled": F.col("role_settled") | had,
         "regions": F.coalesce("_cut.regions", F.when(had & (F.size("_regions") > 0), F.col("_regions")), "regions"),

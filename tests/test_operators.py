@@ -119,13 +119,17 @@ def test_windows_never_cut_a_piece(spark):
 
 
 def test_reanchoring(spark):
-    assert anchors.reanchor("say hello there", "hello")["method"] == "exact"
-    got = anchors.reanchor("left cat right, wrong cat side", "cat", prefix="wrong ", suffix=" side")
+    def reanchor(text, exact, prefix="", suffix="", hint=None):
+        rows = spark.createDataFrame([(text, exact, prefix, suffix, hint)], "text string, exact string, prefix string, suffix string, hint int")
+        return anchors.reanchored(rows).first()["anchor"]
+
+    assert reanchor("say hello there", "hello")["method"] == "exact"
+    got = reanchor("left cat right, wrong cat side", "cat", prefix="wrong ", suffix=" side")
     assert (got["start"], got["method"], got["ambiguous"]) == (22, "context", False)
-    assert anchors.reanchor("cat cat", "cat")["ambiguous"]
-    fuzzy = anchors.reanchor("xx the quick brown fox jumped over the lazy dog yy", "the quick brown fox jumps over the lazy dog")
+    assert reanchor("cat cat", "cat")["ambiguous"]
+    fuzzy = reanchor("xx the quick brown fox jumped over the lazy dog yy", "the quick brown fox jumps over the lazy dog")
     assert fuzzy["method"] == "fuzzy" and fuzzy["similarity"] > 0.9
-    assert anchors.reanchor("nothing alike", "the quick brown fox") is None
+    assert reanchor("nothing alike", "the quick brown fox") is None
     rows = spark.createDataFrame([("say hello there", "hello"), ("a a", "a"), ("b", "zz")], "text string, exact string").withColumns({"prefix": F.lit(""), "suffix": F.lit(""), "hint": F.lit(None).cast("int")})
     out = {r["exact"]: r["anchor"] for r in anchors.reanchored(rows).collect()}
     assert out["hello"]["start"] == 4 and out["a"]["ambiguous"] and out["zz"] is None
