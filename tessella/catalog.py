@@ -739,16 +739,29 @@ def edge_ids(spark, d):
     return made.withColumn("e", X.edge_ends(F.col("id"))).select("id", "e.source", "e.target", "e.provenance")
 
 
-@query("""with o as (select o_orderkey::bigint as "window", 'C' || (o_custkey % 4) as a, case when o_orderkey % 7 = 0 then null else 'c' || (o_orderkey % 4) end as b, case when o_orderkey % 11 = 0 then '' else o_orderpriority end as q from orders)
- select "window", case when o."window" % 13 = 0 then 'not JSON' when b is null then 'not two names' when lower(a) = lower(b) then 'one name twice' when q = '' then 'no quotation' else 'ok' end as verdict, case when o."window" % 13 <> 0 then q end as quotation from o""")
+@query("""with o as (select o_orderkey::bigint as "window", o_orderkey % 9 as k, 'C' || (o_custkey % 4) as a, 'c' || (o_orderkey % 4) as b, case when o_orderkey % 11 = 0 then ' ' else ' ' || o_orderpriority end as q from orders),
+ c as (select "window", k, q, case when k in (0, 1, 2) then [a, b] when k = 3 then [a, a] when k = 4 then [a, lower(a)] when k = 5 then [a] when k = 6 then [a, b, 'D'] else [] end as names from o)
+select "window", case when "window" % 13 = 0 then 'not JSON' when k in (7, 8) then 'no object' when len(names) <> 2 then 'not two names' when names[1] = names[2] then 'one name twice' when trim(q) = '' then 'no quotation' else 'ok' end as verdict,
+ case when "window" % 13 <> 0 and k < 7 then names[1] end as first, case when "window" % 13 <> 0 and k < 7 then names[2] end as second, case when "window" % 13 <> 0 and k < 7 then q when "window" % 13 <> 0 and k = 7 then '' end as quotation from c""")
 def reply_claims(spark, d):
-    """Orders as recorded replies: some are no JSON, some name a number, some name one entity twice, some quote nothing."""
-    o = read(spark, d, "orders")
-    second = F.when(F.col("o_orderkey") % 7 == 0, "7").otherwise(F.concat(F.lit('"c'), (F.col("o_orderkey") % 4).cast("string"), F.lit('"')))
-    quote = F.when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.col("o_orderpriority"))
-    body = F.format_string('{"interactions": [{"participants": ["C%d", %s], "quotation": "%s"}]}', F.col("o_custkey") % 4, second, quote)
-    replies = o.select(long("o_orderkey").alias("window"), F.when(F.col("o_orderkey") % 13 == 0, "{cut").otherwise(body).alias("reply"))
-    return files.claims_of(replies).select("window", "verdict", "quotation")
+    """Orders as recorded replies: what is no string or blank is no participant, names compare exactly, quotations stay as said, and some are no objects or no JSON."""
+    o = read(spark, d, "orders").withColumn("k", F.col("o_orderkey") % 9)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    a, b = F.concat(F.lit("C"), (F.col("o_custkey") % 4).cast("string")), F.concat(F.lit("c"), (F.col("o_orderkey") % 4).cast("string"))
+    k = F.col("k")
+    names = (
+        F.when(k == 0, F.concat_ws(", ", quoted(a), quoted(b)))
+        .when(k == 1, F.concat_ws(", ", quoted(a), F.lit("7"), quoted(F.concat(F.lit(" "), b))))
+        .when(k == 2, F.concat_ws(", ", quoted(a), F.lit('" "'), quoted(b)))
+        .when(k == 3, F.concat_ws(", ", quoted(a), quoted(a)))
+        .when(k == 4, F.concat_ws(", ", quoted(a), quoted(F.lower(a))))
+        .when(k == 5, F.concat_ws(", ", quoted(a), F.lit("null")))
+        .otherwise(F.concat_ws(", ", quoted(a), quoted(b), F.lit('"D"')))
+    )
+    quote = F.when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.concat(F.lit(" "), "o_orderpriority"))
+    body = F.format_string('{"interactions": [{"participants": [%s], "quotation": "%s"}]}', names, quote)
+    reply = F.when(F.col("o_orderkey") % 13 == 0, "{cut").when(k == 7, '{"interactions": ["no entry"]}').when(k == 8, "[1]").otherwise(body)
+    return files.claims_of(o.select(long("o_orderkey").alias("window"), reply.alias("reply"))).select("window", "verdict", "first", "second", "quotation")
 
 
 @query("""with n as (select *, 'd' || doc_id || '.md' as path from documents where doc_id % 9 <> 2) select path, (row_number() over (order by path) - 1)::bigint as position, case when doc_id % 6 = 1 then 'reference' else 'narrative' end as role, length(text)::bigint as characters, sha256(text) as sha256,

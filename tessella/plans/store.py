@@ -76,15 +76,24 @@ class Store:
         context = self.spark.sparkContext
         any_ = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{prefix}-*")
         found = any_.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(any_) or []
-        last = max((int(re.search(r"-(\d+)$", s.getPath().getName())[1]) for s in found), default=0)
+        last = max((int(s.getPath().getName().rsplit("-", 1)[1]) for s in found), default=0)
         return f"{self.root}/{table}/{prefix}-{last + 1:012d}"
 
+    def _live(self, table: str) -> list[str]:
+        """What a table is read from: its newest whole version, which took in all logs up to the number in its name, and the logs after that."""
+        whole, logs = self._folders(table, "v")[-1:], self._folders(table, "log")
+        upto = int(whole[0].rsplit("/v-", 1)[1].split("-")[0]) if whole else 0
+        return [*whole, *(x for x in logs if int(x.rsplit("-", 1)[1]) > upto)]
+
     def read(self, table: str) -> DataFrame | None:
-        versions = self._folders(table, "v")[-1:] or self._folders(table, "log")
-        return self.spark.read.option("mergeSchema", True).parquet(*versions) if versions else None
+        live = self._live(table)
+        return self.spark.read.option("mergeSchema", True).parquet(*live) if live else None
 
     def write(self, table: str, rows: DataFrame) -> None:
-        rows.write.parquet(self._next(table, "v"))
+        """A new whole version, in place of all that was there when it began."""
+        logs = self._folders(table, "log")
+        upto = max([int(x.rsplit("-", 1)[1]) for x in logs], default=0)
+        rows.write.parquet(self._next(table, f"v-{upto:012d}"))
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str]) -> None:
         old = self.read(table)

@@ -169,8 +169,8 @@ def answered(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def unusable(replies: DataFrame) -> DataFrame:
-    """Why a reply (reply, stop_reason) cannot be read: cut off, refused, no JSON; in that order. Null where it can."""
-    why = F.when(F.col("stop_reason") == "max_tokens", "cut off at its limit").when(F.col("stop_reason") == "refusal", "refused").when(F.try_parse_json("reply").isNull(), "not JSON")
+    """Why a reply (reply, stop_reason) cannot be read: cut off, refused, no JSON, no object; in that order. Null where it can."""
+    why = F.when(F.col("stop_reason") == "max_tokens", "cut off at its limit").when(F.col("stop_reason") == "refusal", "refused").when(F.try_parse_json("reply").isNull(), "not JSON").when(~_is_object(F.try_parse_json("reply")), "no object")
     return replies.withColumn("why", why)
 
 
@@ -202,25 +202,49 @@ def extract(windows: DataFrame, replies: DataFrame, asserted: bool = False) -> E
     return Extraction(assertions_of(said) if asserted else claims_of(said), mentions_of(said), usage)
 
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def _said(item: str, path: str) -> Column:
+    """A value as text; what counts as nothing (null, absent, zero, false) is empty."""
+    value, text = F.try_variant_get(item, path, "variant"), F.try_variant_get(item, path, "string")
+    nothing = (F.schema_of_variant(value) != "STRING") & text.isin("0", "false")
+    return F.when(F.coalesce(nothing, F.lit(False)), "").otherwise(F.coalesce(text, F.lit("")))
+
+
+def _strings(item: str, path: str) -> Column:
+    """The strings of a list, stripped, without blank ones; what is no string is left out and not made one."""
+    parts = F.coalesce(F.try_variant_get(item, path, "array<variant>"), F.array().cast("array<variant>"))
+    kept = F.filter(parts, lambda x: F.schema_of_variant(x) == "STRING")
+    return F.filter(F.transform(kept, lambda x: _stripped(F.try_variant_get(x, "$", "string"))), lambda x: x != "")
+
+
+def _entries(parsed: DataFrame, key: str) -> DataFrame:
+    """window, at, item: the entries of a list in replies (window, v) that are objects."""
+    path = f"variant_get(v, '$.{key}', 'variant')"
+    listed = f"v is not null and schema_of_variant(v) like 'OBJECT%' and schema_of_variant({path}) like 'ARRAY%'"
+    return parsed.sparkSession.sql(f"select window, pos as at, value as item from {{r}}, lateral variant_explode({path}) where {listed}", r=parsed)
+
+
 def mentions_of(replies: DataFrame) -> DataFrame:
-    """Names in recorded replies (window, reply): window, at, name, aliases, kind. Nameless and non-object entries go; a name is no alias of itself."""
-    parsed = replies.withColumn("v", F.try_parse_json("reply"))
-    items = replies.sparkSession.sql(
-        "select window, pos as at, value as item from {r}, lateral variant_explode(variant_get(v, '$.characters', 'variant')) where v is not null and is_variant_null(variant_get(v, '$.characters', 'variant')) = false",
-        r=parsed,
-    )
-    get = lambda path, t="string": F.try_variant_get("item", path, t)
-    name = F.trim(get("$.name"))
-    aliases = F.array_distinct(F.filter(F.transform(F.coalesce(get("$.aliases", "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: (x != "") & (x != name)))
-    objects = F.schema_of_variant("item").startswith("OBJECT")
-    kind = F.coalesce(F.nullif(F.trim(get("$.kind")), F.lit("")), F.lit("unknown"))
-    return items.filter(objects & (F.coalesce(name, F.lit("")) != "")).select("window", F.col("at").cast("long").alias("at"), name.alias("name"), aliases.alias("aliases"), kind.alias("kind"))
+    """Names in recorded replies (window, reply): window, at, name, aliases, kind. Nameless and non-object entries go; a name is no alias of itself, and only strings are aliases."""
+    items = _entries(replies.withColumn("v", F.try_parse_json("reply")), "characters")
+    name, kind = _stripped(_said("item", "$.name")), _said("item", "$.kind")
+    aliases = F.filter(_strings("item", "$.aliases"), lambda x: x != name)
+    rows = items.select("window", F.col("at").cast("long").alias("at"), name.alias("name"), aliases.alias("aliases"), F.when(kind == "", "unknown").otherwise(kind).alias("kind"), _is_object(F.col("item")).alias("_o"))
+    return rows.filter("_o and name <> ''").drop("_o")
 
 
 def claims_of(replies: DataFrame) -> DataFrame:
     """Claims in recorded replies (window, reply), each with a verdict: ``ok`` or why it is dropped.
 
-    Participants must be two different non-blank strings; a number is not a string and is not made one.
+    What is no string, or blank, is no participant; two must be left, and differ. A quotation stays as it was said. A reply
+    that is no JSON, or no object, gives one row that says so.
     """
     return _claims(replies, "interactions").drop("types")
 
@@ -232,24 +256,21 @@ def assertions_of(replies: DataFrame) -> DataFrame:
 
 def _claims(replies: DataFrame, key: str) -> DataFrame:
     parsed = replies.withColumn("v", F.try_parse_json("reply"))
-    none = lambda t: F.lit(None).cast(t)
-    bad = parsed.filter("v is null").select(
-        "window", none("long").alias("at"), none("string").alias("first"), none("string").alias("second"), none("string").alias("quotation"), none("array<string>").alias("types"), F.lit("not JSON").alias("verdict")
-    )
-    items = replies.sparkSession.sql(
-        "select window, pos as at, value as item from {r}, lateral variant_explode(variant_get(v, '$." + key + "', 'variant')) where v is not null",
-        r=parsed,
-    )
-    get = lambda path: F.try_variant_get("item", path, "string")
-    kind = lambda path: F.schema_of_variant(F.try_variant_get("item", path, "variant"))
-    a, b = F.trim(get("$.participants[0]")), F.trim(get("$.participants[1]"))
-    two = (kind("$.participants[0]") == "STRING") & (kind("$.participants[1]") == "STRING") & F.try_variant_get("item", "$.participants[2]", "variant").isNull()
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    why = F.when(F.col("v").isNull(), "not JSON").when(~_is_object(F.col("v")), "no object")
+    blank = [none("string", n) for n in ("first", "second", "quotation", "note")]
+    bad = parsed.select("window", none("long", "at"), *blank, none("array<string>", "types"), why.alias("verdict")).filter("verdict is not null")
+    two, quotation, note = _strings("item", "$.participants"), _said("item", "$.quotation"), _stripped(_said("item", "$.note"))
     verdict = (
-        F.when(~F.coalesce(two, F.lit(False)) | (a == "") | (b == ""), "not two names")
-        .when(F.lower(a) == F.lower(b), "one name twice")
-        .when(F.coalesce(F.trim(get("$.quotation")), F.lit("")) == "", "no quotation")
+        F.when(~_is_object(F.col("item")), "no object")
+        .when(F.size(two) != 2, "not two names")
+        .when(F.get(two, F.lit(0)) == F.get(two, F.lit(1)), "one name twice")
+        .when(_stripped(quotation) == "", "no quotation")
         .otherwise("ok")
     )
-    types = F.filter(F.transform(F.coalesce(F.try_variant_get("item", "$.types", "array<string>"), F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "")
-    rows = items.select("window", F.col("at").cast("long").alias("at"), a.alias("first"), b.alias("second"), F.trim(get("$.quotation")).alias("quotation"), types.alias("types"), verdict.alias("verdict"))
-    return rows.union(bad)
+    types = F.transform(_strings("item", "$.types"), lambda t: F.lower(t))
+    rows = _entries(parsed, key).select(
+        "window", F.col("at").cast("long").alias("at"), F.get(two, F.lit(0)).alias("first"), F.get(two, F.lit(1)).alias("second"), quotation.alias("quotation"), F.nullif(note, F.lit("")).alias("note"),
+        types.alias("types"), verdict.alias("verdict"),
+    )
+    return rows.unionByName(bad)
