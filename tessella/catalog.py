@@ -826,3 +826,36 @@ def edge_panels(spark, d):
     )
     shown = edges.described_edges(links, s.limit(0).select(name(F.col("id")).alias("id"), F.lit("x").alias("name")))
     return shown.select("id", "title", F.array_join(F.transform("fields", lambda f: F.concat(f["label"], F.lit("="), f["value"])), "|").alias("fields"))
+
+
+@query(r"""with t as (select doc_id, coalesce(text, '') as t from documents),
+ l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as k from t),
+ lines as (select doc_id, 0 as depth, (sum(length(line) + 1) over (partition by doc_id order by k) - length(line) - 1)::bigint as place from l qualify regexp_matches(line, '^[^\s\x0b\x1c-\x1f]')),
+ q as (select doc_id, unnest(string_split(t, '. ')) as part, unnest(range(len(string_split(t, '. ')))) as k from t),
+ sentences as (select doc_id, 1 as depth, (sum(length(part) + 2) over (partition by doc_id order by k) - length(part) - 2)::bigint as place, k from q qualify k > 0),
+ m as (select doc_id, depth, place from lines union all select doc_id, depth, place from sentences),
+ p as (select *, row_number() over (partition by doc_id order by place, depth) - 1 as pos from m),
+ n as (select *, lead(place) over (partition by doc_id order by pos) as after, last_value(case when depth = 0 then pos end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row) as line_pos,
+  row_number() over (partition by doc_id, depth order by pos) as line_index from p),
+ e as (select doc_id, depth, pos, place, lead(place) over (partition by doc_id, depth order by pos) as next_line, after, case when depth = 1 then line_pos end as parent,
+  case when depth = 0 then line_index else row_number() over (partition by doc_id, depth, line_pos order by pos) end as idx from n),
+ f as (select e.doc_id, pos, depth, parent, idx, place, coalesce(case when depth = 0 then next_line else after end, length(t)) as stop, t from e join t using (doc_id))
+select doc_id, pos::bigint as pos, case depth when 0 then 'line' else 'sentence' end as kind, parent::bigint as parent, idx::bigint as idx, place::bigint as place, stop::bigint as stop, sha256(substr(t, place::int + 1, (stop - place)::int)) as body_sha256 from f
+union all select doc_id, 0, 'sentence', null, 1, 0, length(t), sha256(t) from t where doc_id not in (select doc_id from m)""")
+def nested_segments(spark, d):
+    """Documents divided by two nested rules: lines that begin with ink, and what follows a full stop and a space."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    found = segments.segments(docs, [("line", r"^(?=\S)", "start"), ("sentence", r"\. ", "end")])
+    return found.select(
+        "doc_id", long("pos"), F.col("type").alias("kind"), long("parent"), long("index").alias("idx"), long("start").alias("place"), long("end").alias("stop"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256")
+    )
+
+
+@query(r"""with t as (select doc_id, coalesce(text, '') as t from documents),
+ b as (select doc_id, t, unnest(regexp_split_to_array(t, '\n[ \t]*\n')) as block from t)
+select doc_id, count(*)::bigint as n, max(length(t))::bigint as reach from b where regexp_matches(block, '[^\s\x0b\x1c-\x1f]') group by doc_id
+union all select doc_id, 1, length(t) from t where not regexp_matches(t, '[^\s\x0b\x1c-\x1f]')""")
+def blocks_between_blank_lines(spark, d):
+    """How many blocks each document has by the default rule, and where the last one ends."""
+    found = segments.segments(read(spark, d, "documents").select("doc_id", "text"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").cast("long").alias("reach"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,46 +20,107 @@ def lines(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), (end - F.length("line")).cast("long").alias("start"), end.cast("long").alias("end"), "line")
 
 
-def split_segments(text: str, rules: list[tuple[str, str, str]]) -> list[dict]:
-    """Nested segments of one text. ``rules``: (type, pattern, "start" or "end" of the match), outermost first.
+#: Characters that texts do not use (fixed values: permanent noncharacters and private planes); three that a text lacks mark its matches.
+MARKS = [chr(c) for c in (*range(0xFDD0, 0xFDF0), *range(0x10FF00, 0x10FF20))]
+#: Multiline, only line feeds end lines, classes as Unicode has them.
+FLAGS = "(?mdU)"
+
+
+def _marked(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """An array over all rules of structs depth, k, label, size, rest: the parts into which a rule's matches divide the text.
 
-    A boundary closes all open segments of its own depth and deeper; ordinals restart under each parent.
+    Part k, from 1, begins at match k, which is ``size`` long; with what follows it, it is ``rest`` long. Part 0 is what stands before.
     """
-    marks = sorted(
-        (m.start() if side == "start" else m.end(), depth, kind, m.groupdict().get("label"))
-        for depth, (kind, pattern, side) in enumerate(rules)
-        for m in re.finditer(pattern, text, re.M)
-    )
-    if not marks:
-        return [{"pos": 0, "type": rules[-1][0], "index": 1, "depth": 0, "start": 0, "end": len(text), "label": None, "parent": None, "path": [1]}]
-    found: list[dict] = []
-    stack: list[dict] = []
-    ordinals: dict[tuple, int] = {}
-    for at, depth, kind, label in marks:
-        while stack and stack[-1]["depth"] >= depth:
-            stack.pop()["end"] = at
-        parent = stack[-1] if stack else None
-        key = (parent["pos"] if parent else None, kind)
-        ordinals[key] = ordinals.get(key, 0) + 1
-        path = [*(parent["path"] if parent else []), ordinals[key]]
-        own = {"pos": len(found), "type": kind, "index": ordinals[key], "depth": depth, "start": at, "end": len(text), "label": label, "parent": parent and parent["pos"], "path": path}
-        found.append(own)
-        stack.append(own)
-    return found
-
-
-SEGMENT = "array<struct<pos:int,type:string,index:int,depth:int,start:int,end:int,label:string,parent:int,path:array<int>>>"
+    free = F.slice(F.filter(F.array(*map(F.lit, MARKS)), lambda m: ~F.contains(text, m)), 1, 3)
+    # bound to a variable, so that the marks are chosen once a text
+    return F.get(F.transform(F.array(free), lambda m: _divided(text, rules, *(F.get(m, F.lit(i)) for i in range(3)))), F.lit(0))
+
+
+def _divided(text: Column, rules: list[tuple[str, str, str]], opens: Column, names: Column, closes: Column) -> Column:
+    def measured(depth: int):
+        return lambda x: F.struct(
+            F.lit(depth).alias("depth"),
+            x["k"].alias("k"),
+            F.when(x["n"] > 1, F.substr(x["p"], F.lit(1), x["n"] - 1)).alias("label"),
+            F.greatest(x["c"] - x["n"] - 1, F.lit(0)).alias("size"),
+            (F.length(x["p"]) - F.when(x["k"] > 0, x["n"] + 1).otherwise(0)).alias("rest"),
+            *([F.substr(x["p"], x["n"] + 1, x["c"] - x["n"] - 1).alias("match"), F.substr(x["p"], x["c"] + 1).alias("gap")] if len(rules) == 1 else []),
+        )
 
+    arrays = []
+    for depth, (_, pattern, _) in enumerate(rules):
+        pattern = pattern.replace("(?P<", "(?<")
+        label = F.lit("${label}") if "(?<label>" in pattern else F.lit("")
+        found = F.regexp_replace(text, F.lit(f"{FLAGS}(?:{pattern})"), F.concat(opens, label, names, F.lit("$0"), closes))
+        parts = F.transform(F.split(found, opens), lambda p, k: F.struct(k.alias("k"), p.alias("p"), F.instr(p, names).alias("n"), F.instr(p, closes).alias("c")))
+        arrays.append(F.transform(parts, measured(depth)))
+    return F.concat(*arrays)
 
-def segments(docs: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """One row per segment of each text (doc_id, text); by default blocks between blank lines."""
-    rules = rules or [("section", BLOCK, "end")]
 
-    @F.udf(SEGMENT, useArrow=True)
-    def split(text):
-        return split_segments(text or "", rules)
+def segments(docs: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """One row per nested segment of each text (doc_id, text); by default blocks between blank lines.
 
-    return docs.select("doc_id", "text", F.explode(split("text")).alias("s")).select("doc_id", "s.*", F.substr(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("body"))
+    ``rules``: (type, pattern, "start" or "end" of the match), outermost first, with a group ``label`` or without. A boundary
+    closes all open segments of its own depth and deeper; ordinals restart under each parent; a text without any
+    boundary is one segment. Boundaries are rows, and depth, end and parent come from windows over each text's
+    rows; one shuffle brings them together with the text. A null text counts as empty; one that uses nearly all of MARKS is refused.
+    """
+    rules = rules or [("section", BLOCK, "end")]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if len(rules) == 1:
+        return _flat(rows, rules[0])
+    # the text goes with one part only, and not with every row that comes of it
+    parts = F.transform(_marked(F.col("text"), rules), lambda m: m.withField("text", F.when((m["k"] == 0) & (m["depth"] == 0), F.col("text"))))
+    each = rows.select("_row", "doc_id", F.explode(parts).alias("m")).select("_row", "doc_id", "m.*")
+    own = Window.partitionBy("_row", "depth").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("rest").over(own), F.lit(0)).cast("int")
+    ends = [d for d, (_, _, side) in enumerate(rules) if side == "end"]
+    at = before + F.when(F.col("depth").isin(ends), F.col("size")).otherwise(0)
+    whole = Window.partitionBy("_row")
+    placed = each.withColumn("at", at).withColumn("_marks", F.sum((F.col("k") > 0).cast("int")).over(whole))
+    kept = placed.filter("k > 0 or text is not null")
+    real = F.col("k") > 0
+    order = Window.partitionBy("_row").orderBy(F.col("k") == 0, "at", "depth", "k")
+    back = order.rowsBetween(Window.unboundedPreceding, -1)
+    # what comes next is what came last in the opposite order, where Spark's frames grow row by row
+    ahead = Window.partitionBy("_row").orderBy(F.desc(F.col("k") == 0), F.desc("at"), F.desc("depth"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.element_at(F.array(*[F.lit(r[0]) for r in rules]), F.col("depth") + 1)
+    found = kept.withColumns({"pos": F.row_number().over(order) - 1, "type": kind, "end": F.lit(None).cast("int"), "parent": F.lit(None).cast("int")})
+    for d in range(len(rules)):
+        here, real_at = F.col("depth") == d, lambda below, c: F.when(real & (F.col("depth") < below), F.col(c))
+        found = found.withColumns({
+            "end": F.when(here, F.last(real_at(d + 1, "at"), True).over(ahead)).otherwise(F.col("end")),
+            "parent": F.when(here, F.last(real_at(d, "pos"), True).over(back)).otherwise(F.col("parent")),
+        })
+    found = found.withColumn("index", F.row_number().over(Window.partitionBy("_row", "parent", "type").orderBy(F.col("k") == 0, "pos"))).withColumn("path", F.array().cast("array<int>"))
+    for d in range(len(rules)):
+        above = F.last(F.when(real & (F.col("depth") < d), F.col("path")), True).over(back)
+        path = F.concat(F.coalesce(above, F.array().cast("array<int>")), F.array("index"))
+        found = found.withColumn("path", F.when(F.col("depth") == d, path).otherwise(F.col("path")))
+    fields = ["pos", "type", "index", "depth", F.col("at").alias("start"), "end", "label", "parent", "path"]
+    told = found.groupBy("_row", "doc_id").agg(F.max("text").alias("text"), F.first("_marks").alias("_marks"), F.collect_list(F.when(real, F.struct(*fields))).alias("s"))
+    blank = {"pos": F.lit(0), "type": F.lit(rules[-1][0]), "index": F.lit(1), "depth": F.lit(0), "start": F.lit(0), "end": F.length("text"), "label": F.lit(None).cast("string"), "parent": F.lit(None).cast("int"), "path": F.array(F.lit(1))}
+    one = F.array(F.struct(*[c.alias(n) for n, c in blank.items()]))
+    text, end = F.col("text"), lambda x: F.coalesce(x["end"], F.length(F.col("text")))
+    cut = F.transform(F.when(F.col("_marks") > 0, F.col("s")).otherwise(one), lambda x: x.withField("end", end(x)).withField("body", F.substr(text, x["start"] + 1, end(x) - x["start"])))
+    return told.select("doc_id", F.explode(cut).alias("s")).select("doc_id", *[f"s.{n}" for n in (*blank, "body")])
+
+
+def _flat(rows: DataFrame, rule: tuple[str, str, str]) -> DataFrame:
+    """Segments of one rule: each body is put together from the parts beside its boundary, in time linear in the text."""
+    kind, _, side = rule
+    w = Window.partitionBy("_row").orderBy("k")
+    each = rows.select("_row", "doc_id", F.explode(_marked(F.col("text"), [rule])).alias("m")).select("_row", "doc_id", "m.*")
+    before = F.coalesce(F.sum("rest").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = each.select("doc_id", "k", "label", "match", "gap", "size", before.alias("before"), F.lead("k").over(w).alias("next"), F.lead("match").over(w).alias("ahead"))
+    alone = F.col("k") == 0
+    start = F.col("before") + (F.when(alone, 0).otherwise(F.col("size")) if side == "end" else F.lit(0))
+    body = F.concat("gap", F.coalesce("ahead", F.lit(""))) if side == "end" else F.when(alone, F.col("gap")).otherwise(F.concat("match", "gap"))
+    own = placed.filter("k > 0 or next is null").select("doc_id", F.greatest(F.col("k"), F.lit(1)).alias("index"), start.alias("start"), "label", body.alias("body"))
+    return own.select(
+        "doc_id", (F.col("index") - 1).alias("pos"), F.lit(kind).alias("type"), "index", F.lit(0).alias("depth"), "start", (F.col("start") + F.length("body")).alias("end"), "label",
+        F.lit(None).cast("int").alias("parent"), F.array("index").alias("path"), "body",
+    )
 
 
 def leaves(found: DataFrame) -> DataFrame:

@@ -103,9 +103,10 @@ def test_segments_passages_and_verification(spark):
         verify.verify(claims.union(claims), passages, docs, most_rejected=0.25)
 
 
-def test_nested_segments():
+def test_nested_segments(spark):
     text = "Book I\nChapter 1\na\nChapter 2\nb\nBook II\nChapter 1\nc\n"
-    got = segments.split_segments(text, [("book", r"^Book (?P<label>\w+)", "start"), ("chapter", r"^Chapter \d+", "start")])
+    frame = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = segments.segments(frame, [("book", r"^Book (?P<label>\w+)", "start"), ("chapter", r"^Chapter \d+", "start")]).orderBy("pos").collect()
     assert [(s["type"], s["path"], s["label"]) for s in got] == [
         ("book", [1], "I"), ("chapter", [1, 1], None), ("chapter", [1, 2], None), ("book", [2], "II"), ("chapter", [2, 1], None),
     ]
