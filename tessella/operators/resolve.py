@@ -84,7 +84,7 @@ def apply_groups(unresolved: DataFrame, groups: DataFrame, registry: DataFrame)
     found = F.col("_to").isNotNull()
     # of several groups with one id the first has it
     fresh = joined.filter(~found).groupBy("group", "canonical").agg(F.min(F.struct("at", "key")).alias("f")).select("group", F.col("canonical").alias("name"), F.col("f.key").alias("key"), F.col("group").alias("ord"))
-    made = group_alone(fresh).select("group", F.col("entity_id").alias("_new"))
+    made = group_alone(fresh, registry).select("group", F.col("entity_id").alias("_new"))
     both = joined.join(made, "group", "left")
     wished = F.coalesce("same_as", F.lit("")) != ""
     return both.select(
@@ -95,11 +95,11 @@ def apply_groups(unresolved: DataFrame, groups: DataFrame, registry: DataFrame)
     )
 
 
-def resolve(mentions: DataFrame, registry: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Names and aliases of all passes to entities: assignments (form_key, entity_id), entities (entity_id, name, kind, registered), dropped aliases.
+def resolve(mentions: DataFrame, registry: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Names and aliases of all passes to entities: assignments (form_key, entity_id), entities (entity_id, name, kind, registered), dropped aliases, warnings (group, warning).
 
     ``mentions``: ord, name, key, kind, aliases (structs key, form). ``registry``: a row per form: key, entity_id, name,
-    kind. What the registry knows is settled first; the rest by ``groups``, or each name alone. An alias is
+    kind. What the registry knows is settled first; the rest by ``groups`` (names in none stay open), or each name alone. An alias is
     then judged on whether those who claim it became one entity.
     """
     names = gather(mentions)
@@ -109,8 +109,11 @@ def resolve(mentions: DataFrame, registry: DataFrame, groups: DataFrame | None =
     unresolved = looked.filter("entity_id is null").drop("entity_id").join(first, "key")
     if groups is None:
         made = group_alone(unresolved, registry).select("key", "entity_id", "name", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.lit(False).alias("registered"))
+        warnings = mentions.sparkSession.createDataFrame([], "group string, warning string")
     else:
-        made = apply_groups(unresolved, groups, registry).select("key", "entity_id", "name", "kind", "registered")
+        grouped = apply_groups(unresolved, groups, registry)
+        made = grouped.select("key", "entity_id", "name", "kind", "registered")
+        warnings = grouped.filter("warning is not null").select(F.col("group").cast("string").alias("group"), "warning").distinct()
     of_names = settled.union(made.select("key", "entity_id"))
     claims = alias_claims(mentions).join(of_names.select(F.col("key").alias("owner_key"), "entity_id"), "owner_key")
     claims = claims.join(registry.select(F.col("key").alias("alias_key")), "alias_key", "left_anti")
@@ -120,4 +123,4 @@ def resolve(mentions: DataFrame, registry: DataFrame, groups: DataFrame | None =
     usable = owners.filter("n_owners = 1").select(F.col("alias_key").alias("key"), "entity_id")
     assignments = of_names.union(usable).select(F.col("key").alias("form_key"), "entity_id")
     entities = made.groupBy("entity_id").agg(F.min("name").alias("name"), F.min("kind").alias("kind"), F.bool_or("registered").alias("registered"))
-    return assignments, entities, owners.filter("n_owners > 1").select("alias_key", "form", "n_owners")
+    return assignments, entities, owners.filter("n_owners > 1").select("alias_key", "form", "n_owners"), warnings

@@ -65,7 +65,7 @@ def read_pass(text: DataFrame, replies: DataFrame, prompt_sha256: str, asserted:
 
 @dataclass
 class Analysis:
-    """``nodes``: id, name, kind, registered. ``edges``: of both passes. ``evidence``: source, target, provenance, passage, document, exact, prefix, suffix. ``rejected``: claims with their verdict; ``dropped``: aliases that several entities claim."""
+    """``nodes``: id, name, kind, registered. ``edges``: of both passes. ``evidence``: source, target, provenance, passage, document, exact, prefix, suffix. ``rejected``: claims with their verdict; ``dropped``: aliases that several entities claim. ``warnings``: groups that named a registered entity there is not."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -74,6 +74,7 @@ class Analysis:
     refused: DataFrame
     assignments: DataFrame
     dropped: DataFrame
+    warnings: DataFrame
 
 
 def _mentions(*passes: Pass) -> DataFrame:
@@ -123,7 +124,7 @@ def analyse(
         passes.append(("narrative", read_pass(text, replies, prompt_sha256, False, target, most_rejected), OBSERVED_BASIS, "observed"))
     if both["reference"]:
         passes.append(("reference", read_pass(reference, replies, assertion_sha256, True, target, most_rejected), ASSERTED_BASIS, "asserted"))
-    assignments, entities, dropped = (stored(t) for t in R.resolve(_mentions(*[p for _, p, *_ in passes]), registry, groups))
+    assignments, entities, dropped, warnings = (stored(t) for t in R.resolve(_mentions(*[p for _, p, *_ in passes]), registry, groups))
     for role, p, basis, provenance in passes:
         spans = S.document_spans(own.join(documents.filter(F.col("role") == role).select("document"), "document", "left_semi"), documents)
         parts.append(_aggregated(p, assignments, spans, basis, provenance))
@@ -136,4 +137,4 @@ def analyse(
     rejected = passes[0][1].verdicts.select("claim", "verdict")
     for _, p, *_ in passes[1:]:
         rejected = rejected.union(p.verdicts.select("claim", "verdict"))
-    return Analysis(nodes, edges, union(1), rejected.filter(~F.col("verdict").isin("kept", "relocated")), union(2), assignments, dropped)
+    return Analysis(nodes, edges, union(1), rejected.filter(~F.col("verdict").isin("kept", "relocated")), union(2), assignments, dropped, warnings)

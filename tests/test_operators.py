@@ -158,3 +158,19 @@ def test_found_in_meets_short_and_long_quotations(spark):
     quotes = spark.createDataFrame([(1, "alpha  beta gamma delta"), (2, "gamma"), (3, ""), (4, None), (5, "beta delta")], "item_id long, text string")
     got = {(r["item_id"], r["doc_id"], r["offset"]) for r in verify.found_in(quotes, docs).collect()}
     assert got == {(1, 1, 0), (1, 2, 1), (2, 1, 11), (2, 2, 12)}
+
+
+def test_groups_do_not_take_registered_ids_and_their_warnings_are_told(spark):
+    rows = [(1, "St John", "st john", "person", []), (2, "Johnny", "johnny", "person", []), (3, "Mary", "mary", "person", [])]
+    mentions = spark.createDataFrame(rows, "ord long, name string, key string, kind string, aliases array<struct<key:string,form:string>>")
+    registry = spark.createDataFrame([("st. john", "char:st-john", "St. John", "person")], "key string, entity_id string, name string, kind string")
+    groups = spark.createDataFrame(
+        [(1, "St John", "st john", "person", ["st john", "johnny", "no such"], None), (2, "Mary", "mary", "person", ["mary"], "nobody")],
+        "group long, canonical string, canonical_key string, kind string, forms array<string>, same_as string",
+    )
+    assignments, entities, _, warnings = resolve.resolve(mentions, registry, groups)
+    ids = {r["form_key"]: r["entity_id"] for r in assignments.collect()}
+    assert ids["st john"] == ids["johnny"] == "char:st-john-st-john" and ids["mary"] == "char:mary"
+    assert [(r["group"], r["warning"]) for r in warnings.collect()] == [("2", "unknown registered name nobody")]
+    assert {r["entity_id"]: r["name"] for r in entities.collect()} == {"char:st-john-st-john": "St John", "char:mary": "Mary"}
+    assert resolve.resolve(mentions, registry)[3].count() == 0
