@@ -7,14 +7,17 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.text import edge_context, normalise_whitespace
 from tessella.operators.anchors import reanchored
 from tessella.operators.opening import require_reproducible
+from tessella.plans.scratch import stored
 
 
 #: Characters of names that one automaton holds (about 100 bytes of memory each); more names are sought in further passes.
@@ -192,19 +195,63 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def revision_proposals(docs: DataFrame) -> DataFrame:
-    """For each document the most similar earlier one of the same name: ord, path, earlier, similarity (four digits).
+#: Counts that a text's characters are told by; characters that share one only widen the bound.
+COUNTS = 128
+
+
+def character_counts(docs: DataFrame) -> DataFrame:
+    """``docs`` (ord, path, content) as ord, path, name, size and counts of the characters of the normalised text."""
+
+    def count(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % COUNTS for t in texts]
+            told = [np.bincount(c, minlength=COUNTS).astype(np.int32) for c in codes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), pa.array(told, pa.list_(pa.int32()))], names=["ord", "path", "name", "size", "counts"])
+
+    named = docs.filter("content is not null").select("ord", "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), normalise_whitespace(F.col("content")).alias("text"))
+    kind = named.schema["ord"].dataType.simpleString()
+    return named.mapInArrow(count, f"ord {kind}, path string, name string, size long, counts array<int>")
 
-    Documents meet under their base name only. Ties go to the later path.
+
+def compared(docs: DataFrame, first: int = 1) -> tuple[DataFrame, int]:
+    """Each document's most similar earlier one of the same name (ord, path, earlier, similarity), and how many pairs of texts were compared.
+
+    A ratio cannot be above twice the characters that two texts have in common, by their counts, over the characters of both.
+    Pairs are made of counts only; of each document those with the highest bounds are compared first, ``first`` and then twice as
+    many each time, and a pair whose bound is under the best ratio found is never compared. Exact: bounds are not under ratios.
     """
 
     @F.udf("double", useArrow=True)
     def ratio(a, b):
-        return None if a is None or b is None else round(similarity(a, b), 4)
-
-    named = docs.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
-    x, y = named.alias("x"), named.alias("y")
-    met = x.join(y, F.expr("x.name = y.name and y.ord < x.ord")).select(
-        F.col("x.ord").alias("ord"), F.col("x.path").alias("path"), F.col("y.path").alias("earlier"), ratio(normalise_whitespace(F.col("x.content")), normalise_whitespace(F.col("y.content"))).alias("similarity")
-    )
-    return met.groupBy("ord", "path").agg(F.max(F.struct("similarity", "earlier")).alias("b")).select("ord", "path", "b.earlier", "b.similarity")
+        return round(similarity(a, b), 4)
+
+    counts = stored(character_counts(docs))
+    x, y = counts.alias("x"), counts.alias("y")
+    common = F.aggregate(F.zip_with("x.counts", "y.counts", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
+    both = F.col("x.size") + F.col("y.size")
+    bound = F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+    met = x.join(y, F.expr("x.name = y.name and y.ord < x.ord"))
+    pairs = met.select(F.col("x.ord").alias("ord"), F.col("x.path").alias("path"), F.col("y.ord").alias("earlier_ord"), F.col("y.path").alias("earlier"), (F.round(bound, 4) + 0.0001).alias("bound"))
+    turn = F.row_number().over(Window.partitionBy("ord", "path").orderBy(F.desc("bound"), "earlier"))
+    left = stored(pairs.withColumn("turn", turn))
+    texts = docs.filter("content is not null").select("ord", "path", normalise_whitespace(F.col("content")).alias("text"))
+    best, n, upto, many = None, 0, 0, first
+    while True:
+        upto, many = upto + many, 2 * many
+        now = left.filter(F.col("turn") <= upto).select("ord", "path", "earlier_ord", "earlier")
+        told = now.join(texts, ["ord", "path"]).join(texts.select(F.col("ord").alias("earlier_ord"), F.col("path").alias("earlier"), F.col("text").alias("other")), ["earlier_ord", "earlier"])
+        found = stored(told.select("ord", "path", "earlier", ratio("text", "other").alias("similarity")))
+        n += found.count()
+        rows = found if best is None else best.unionByName(found)
+        top = rows.groupBy("ord", "path").agg(F.max(F.struct("similarity", "earlier")).alias("b"))
+        best = stored(top.select("ord", "path", F.col("b.earlier").alias("earlier"), F.col("b.similarity").alias("similarity")))
+        open_ = left.filter(F.col("turn") > upto).join(best.select("ord", "path", "similarity"), ["ord", "path"]).filter(F.col("bound") >= F.col("similarity"))
+        left = stored(open_.drop("similarity"))
+        if not left.limit(1).count():
+            return best, n
+
+
+def revision_proposals(docs: DataFrame) -> DataFrame:
+    """For each document (ord, path, content) the most similar earlier one of the same name: ord, path, earlier, similarity (four digits). Ties go to the later path."""
+    return compared(docs)[0]

@@ -101,3 +101,22 @@ def test_evidence_list_counts_documents_per_snapshot(spark):
     evidence = spark.createDataFrame(rows, "snapshot string, edge string, stored int, document string, chain array<struct<type:string,index:int>>")
     documents = spark.createDataFrame([("a", "d1", "One"), ("a", "d2", "Two"), ("b", "d3", "Three")], "snapshot string, document string, title string")
     assert sorted((r["snapshot"], r["locator"]) for r in anchors.evidence_list(evidence, documents).collect()) == [("a", "One, section 2"), ("b", "section 2")]
+
+
+def test_revisions_like_all_pairs_with_fewer_compared(spark):
+    rnd = random.Random(9)
+    sentence = lambda k: " ".join("".join(rnd.choice("abcdefghijklmnop"[k : k + 6]) for _ in range(rnd.randint(1, 7))) for _ in range(25))
+    rows = []
+    for name in range(3):
+        for version in range(9):
+            base = sentence(3 * name) if version % 3 == 0 else rows[-1][2][: rnd.randint(60, 140)] + sentence(version % 4)
+            rows.append((len(rows), f"{rnd.choice('xyz')}{version}/file{name}", base))
+    rows += [(50, "a/empty", ""), (51, "b/empty", " "), (52, "c/empty", None), (53, "b/file0", rows[4][2]), (54, "alone", "x")]
+    want = {}
+    for i, path, text in rows:
+        own = [(round(continuity.similarity(" ".join(text.split()), " ".join(t.split())), 4), p) for j, p, t in rows if text is not None and t is not None and j < i and p.rsplit("/")[-1] == path.rsplit("/")[-1]]
+        if own:
+            want[i] = max(own)[::-1]
+    best, n = continuity.compared(spark.createDataFrame(rows, "ord long, path string, content string").repartition(3))
+    assert {r["ord"]: (r["earlier"], r["similarity"]) for r in best.collect()} == want
+    assert n < sum(8 - k for k in range(9)) * 3
