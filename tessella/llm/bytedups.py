@@ -14,7 +14,7 @@ as one entry per chunk in the shard, so a passage in very many documents stays s
 
 Judged on the input: overlapping strings all count. Defined cases: a null or empty text has no bytes; a text shorter
 than ``width`` loses none; rows equal in doc_id and text are copies of each other, as any equal texts are;
-they are told by a hash of both; an empty table gives no rows; other columns are ignored.
+they are told by a hash of both; a very long text is dealt into strings like others and put together whole at the end; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ last. The counts ("pairs"), history sums ("histories") and weights ("weights") a
 partitioned by kind, a row per bucket; buckets grow in number with the corpus, not in size.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id counts as the text ``null``;
-repeated rows are each counted and scored; an empty table gives no rows; without training texts every
+repeated rows are each counted and scored; a very long text is read whole, in memory in proportion to its words; an empty table gives no rows; without training texts every
 token is unseen and has the whole mass; other columns are ignored.
 """
 

@@ -17,7 +17,7 @@ The rule. With q1 and q3 the sketch's quartiles (bucket edges), a measure is too
 ``q1 - reach * max(q3 - q1, least)``.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null language or source
-forms a group of its own; repeated rows count as often as they occur; an empty table gives no rows;
+forms a group of its own; a very long text is measured whole, as one array of words in the JVM; repeated rows count as often as they occur; an empty table gives no rows;
 other columns are ignored by :func:`measure` unless carried, and carried through by :func:`judge`.
 """
 

@@ -14,8 +14,8 @@ whose open bits admit at most ``group_limit`` values cannot be larger.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a
 shingle make one shingle of them all; repeated rows and equal texts share a component; rows with a
-null doc_id get a fingerprint and the component of the smallest non-null id; an empty table gives no
-rows; other columns are ignored by :func:`report` and carried by :func:`deduplicated`.
+null doc_id get a fingerprint and the component of the smallest non-null id; a very long text is summed whole, in
+stretches of 65,536 shingles; an empty table gives no rows; other columns are ignored by :func:`report` and carried by :func:`deduplicated`.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ counts once, so sections' counts add up to the document's.
 Sections are lines, each with its line feed, or named fields joined in order (:func:`field_counts`).
 
 Defined cases: a null or empty text is one section without tokens; a section without bytes has no
-tokens; repeated rows each give their sections; an empty table gives no rows; other columns are ignored.
+tokens; repeated rows each give their sections; a very long text is encoded whole, in memory in proportion to it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ the texts themselves stay where they were read.
 
 Defined cases: a null html is an empty payload; a null page_id is written as ``null`` and never the
 largest; rows that share the largest page_id and the payload are each a response; a null url is empty, and
-line breaks in it are percent-encoded; no rows make no archives; other columns are ignored.
+line breaks in it are percent-encoded; a very long page is one record, held whole while it is written; no rows make no archives; other columns are ignored.
 """
 
 from __future__ import annotations

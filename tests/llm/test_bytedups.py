@@ -62,3 +62,14 @@ def test_bytes_match_brute_force(spark, width):
 
 def test_empty_table(spark):
     assert bytedups.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(41)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(1, long, "x"), (2, "start " + long[150_000:150_400] + " end", "x"), (3, "z" * 300_000, "x")]
+    got = {r["doc_id"]: r for r in bytedups.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1]["n_bytes"], got[1]["n_removed"], got[1]["n_spans"]) == (400_000, 400, 1)
+    assert got[1]["kept_sha256"] == hashlib.sha256((long[:150_000] + long[150_400:]).encode()).hexdigest()
+    assert (got[2]["n_removed"], got[2]["kept_sha256"]) == (400, hashlib.sha256(b"start  end").hexdigest())
+    assert (got[3]["n_removed"], got[3]["n_spans"]) == (300_000, 1)

@@ -81,3 +81,14 @@ def test_empty_tables(spark):
     row = dec.report(spark.createDataFrame([(1, "a b", 3, "x")], SCHEMA), bench).first()
     assert row["n_words"] == 2 and not row["contaminated"]
     assert dec.cleaned(spark.createDataFrame([(1, "a b", 3, "x")], SCHEMA), bench).count() == 1
+
+
+def test_a_very_long_text_and_item(spark):
+    rnd = random.Random(42)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(200_000)]
+    item = " ".join(words[120_000:120_012])
+    docs = spark.createDataFrame([(1, " ".join(words), 0, "x"), (2, "none of it", 0, "x")], SCHEMA)
+    bench = spark.createDataFrame([(1, item), (2, " ".join(words[:60_000])), (3, None)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in dec.report(docs, bench).collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"]) == (200_000, 60_012, 2)
+    assert got[2]["n_hit"] == 0
