@@ -511,7 +511,7 @@ def name_presence(spark, d):
     return found.select(F.col("path").cast("long").alias("doc_id"), "form", "n")
 
 
-@query("""with forms as (select distinct array_to_string(string_split(lower(text), ' ')[1:3], ' ') as form from benchmark),
+@query(r"""with forms as (select distinct array_to_string(string_split(lower(text), ' ')[1:3], ' ') as form from benchmark),
  t as (select doc_id, lower(text) as t, text from documents where text is not null),
  m as (select doc_id, form, t, text, string_split(t, form) as parts from t join forms on contains(t, form)),
  o as (select doc_id, form, t, text, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x)))::bigint + (k - 1) * length(form))) as place from m)

@@ -165,3 +165,14 @@ def settings_like(snapshots: DataFrame, runs: DataFrame, snapshot: str, override
     held = rows[0].asDict()
     told = [f"{k}: {override[k]} in place of {held[k]}" for k in kinds if override and k in override and override[k] != held[k]]
     return held | {k: v for k, v in (override or {}).items() if k in kinds}, told
+
+
+def structure_roots(maps: DataFrame) -> DataFrame:
+    """Every folder (root) with confirmed answers, in order; ``maps``: root, path, plan as JSON, confirmed_at."""
+    return maps.select("root").distinct().orderBy("root")
+
+
+def structure_maps(maps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Per asked folder (root) its confirmed answers as a map of path to plan; an empty map where nobody has been asked."""
+    plans = maps.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", F.try_parse_json("plan").cast("string").alias("plan"))))).alias("plans"))
+    return roots.join(plans, "root", "left").withColumn("plans", F.coalesce("plans", F.create_map().cast("map<string,string>")))

@@ -17,7 +17,7 @@ from tessella.operators import resolve as R
 from tessella.operators import segments as S
 from tessella.operators.verify import MOST_REJECTED, verify
 from tessella.plans.scratch import stored
-from tessella.sources.files import Extraction, extract
+from tessella.sources.files import Extraction, extract, request_fingerprint
 
 #: Bases of weights of the two passes, and the characters of a window (fixed values).
 OBSERVED_BASIS, ASSERTED_BASIS, WINDOW = "interaction_passages", "asserted_statements", 12_000
@@ -25,7 +25,7 @@ OBSERVED_BASIS, ASSERTED_BASIS, WINDOW = "interaction_passages", "asserted_state
 
 def fingerprint(text: Column, prompt_sha256: str) -> Column:
     """What a window's reply is recorded under: the window and the prompt it was sent with."""
-    return F.sha2(F.concat(F.lit(prompt_sha256), F.lit("\n"), text).cast("binary"), 256)
+    return request_fingerprint(prompt_sha256=F.lit(prompt_sha256), text=text)
 
 
 def windows_of(text: DataFrame, found: DataFrame, prompt_sha256: str, target: int = WINDOW) -> DataFrame:

@@ -158,9 +158,9 @@ def recorded(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("version")
 
 
-def request_fingerprint(request: Column) -> Column:
-    """SHA-256 of a request struct without its nulls, as JSON with its fields in order of name."""
-    return F.sha2(F.to_json(request).cast("binary"), 256)
+def request_fingerprint(**fields: Column) -> Column:
+    """SHA-256 of a request without its nulls, as JSON with its fields in order of name: what every kind of record is kept under."""
+    return F.sha2(F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)])).cast("binary"), 256)
 
 
 def answered(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:

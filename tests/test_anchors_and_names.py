@@ -120,3 +120,21 @@ def test_revisions_like_all_pairs_with_fewer_compared(spark):
     best, n = continuity.compared(spark.createDataFrame(rows, "ord long, path string, content string").repartition(3))
     assert {r["ord"]: (r["earlier"], r["similarity"]) for r in best.collect()} == want
     assert n < sum(8 - k for k in range(9)) * 3
+
+
+def test_structure_maps_by_root(spark):
+    from tessella.operators import lineage
+
+    maps = spark.createDataFrame([("b", "x.md", '{"role": "narrative"}'), ("a", "z.md", '{"role":  "reference"}'), ("b", "a.md", "{}")], "root string, path string, plan string")
+    assert [r["root"] for r in lineage.structure_roots(maps).collect()] == ["a", "b"]
+    asked = spark.createDataFrame([("b",), ("none",)], "root string")
+    assert {r["root"]: r["plans"] for r in lineage.structure_maps(maps, asked).collect()} == {"b": {"a.md": "{}", "x.md": '{"role":"narrative"}'}, "none": {}}
+
+
+def test_one_fingerprint_for_every_record(spark):
+    import hashlib
+
+    from tessella.sources.files import request_fingerprint
+
+    row = spark.range(1).select(request_fingerprint(text=F.lit("t"), prompt=F.lit("p"), none=F.lit(None).cast("string")).alias("f")).first()
+    assert row["f"] == hashlib.sha256(b'{"prompt":"p","text":"t"}').hexdigest()
