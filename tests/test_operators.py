@@ -174,3 +174,11 @@ def test_groups_do_not_take_registered_ids_and_their_warnings_are_told(spark):
     assert [(r["group"], r["warning"]) for r in warnings.collect()] == [("2", "unknown registered name nobody")]
     assert {r["entity_id"]: r["name"] for r in entities.collect()} == {"char:st-john-st-john": "St John", "char:mary": "Mary"}
     assert resolve.resolve(mentions, registry)[3].count() == 0
+
+
+def test_attribution_sentences_differ(spark):
+    from tessella.operators.compare import attribution_sentence
+
+    rows = spark.createDataFrame([("text",), ("analysis",), ("both",), ("same",), ("other",), (None,)], "of string")
+    told = {r["of"]: r["s"] for r in rows.select("of", attribution_sentence(F.col("of")).alias("s")).collect()}
+    assert told["other"] is None and told[None] is None and len({told[k] for k in ("text", "analysis", "both", "same")}) == 4
