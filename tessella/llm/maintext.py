@@ -7,7 +7,7 @@ of the markup is kept. Then:
 1. A line's ratio is its code points over its tags. Ratios are smoothed along the page with a Gaussian,
    and lines at or above one standard deviation of the smoothed ratios form the dense cluster.
 2. Boilerplate goes: elements that are not article text by name (navigation, forms, asides), by role, or by
-   a word of their class or id, unless an article, a main element or a first heading lies inside.
+   a word of their class or id. Only where no article is left without them, those stay that hold an article or a first heading.
 3. The region. Where the page marks articles, they compete; else named content blocks; else all of the page. From
    there the region narrows to a child for as long as one child holds ``SHARE`` of the dense cluster's text.
 4. All lines of the region are the text, whatever their own ratio, so that short paragraphs stay. Lists made of links
@@ -218,8 +218,8 @@ def dense(ratios: np.ndarray) -> tuple[np.ndarray, float]:
     return flat >= flat.std(), float(flat.std())
 
 
-def _kept_nodes(page: Page) -> np.ndarray:
-    """Nodes outside all boilerplate. A hint alone does not discard an element that holds an article or the page's first-rank heading."""
+def _kept_nodes(page: Page, spare: bool) -> np.ndarray:
+    """Nodes outside all boilerplate. With ``spare`` a hint alone does not discard an element that holds an article or a first-rank heading."""
     n = len(page.names)
     holds = [False] * n
     for i in range(n - 1, 0, -1):
@@ -229,7 +229,7 @@ def _kept_nodes(page: Page) -> np.ndarray:
     for i in range(1, n):
         up, mark = page.parents[i], page.marks[i]
         within[i] = within[up] or mark == "article"
-        gone = mark in ("out", "remark") or (mark == "hint" and not holds[i])
+        gone = mark in ("out", "remark") or (mark == "hint" and not (spare and holds[i]))
         if mark == "header":
             # headings of an article stay, a page's header goes
             gone = not within[up]
@@ -327,13 +327,17 @@ def main_text(html: str | None) -> str:
     nodes = np.array([x[0] for x in page.lines])
     chars = np.array([len(x[1]) for x in page.lines])
     thick, limit = dense(chars / np.array([x[2] for x in page.lines]))
-    kept = _kept_nodes(page)
-    mass, size = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
-    np.add.at(size, nodes, np.where(kept[nodes], chars, 0))
-    np.add.at(mass, nodes, np.where(kept[nodes] & thick, chars, 0))
-    for i in range(len(kept) - 1, 0, -1):
-        mass[page.parents[i]] += mass[i]
-        size[page.parents[i]] += size[i]
+    marked = np.array([mark == "article" for mark in page.marks])
+    for spare in (False, True):
+        kept = _kept_nodes(page, spare)
+        mass, size = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
+        np.add.at(size, nodes, np.where(kept[nodes], chars, 0))
+        np.add.at(mass, nodes, np.where(kept[nodes] & thick, chars, 0))
+        for i in range(len(kept) - 1, 0, -1):
+            mass[page.parents[i]] += mass[i]
+            size[page.parents[i]] += size[i]
+        if size[marked & kept].any():
+            break
     menus = np.flatnonzero(_menus(page, limit))
     good = kept & _region(page, kept, mass, size)
     if len(menus):

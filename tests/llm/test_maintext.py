@@ -36,6 +36,8 @@ CASES = {
     "links in a sentence stay, a list of links goes": (page(f"<article><h1>Tea</h1><p>See <a href=/x>this</a> and <a href=/y>that</a>.</p><p>{LOREM}</p>{MENU[5:-6]}</article>"), f"Tea\nSee this and that.\n{LOREM}"),
     "whole page in a form": (page(f"<form id=aspnet>{NAV}<div><h1>Tea</h1><p>{LOREM}</p></div>{FOOT}</form>"), f"Tea\n{LOREM}"),
     "hinted wrapper of the article": (page(f"<div class='page with-sidebar'><article><h1>Tea</h1><p>{LOREM}</p></article><div class='sidebar'><p>{LOREM}</p></div></div>"), f"Tea\n{LOREM}"),
+    "teasers of other articles": (page(f"<article><h1>Tea</h1><p>Short today.</p></article><section class='related'><article><p>{LOREM}</p></article><article><p>{LOREM}</p></article></section>"), "Tea\nShort today."),
+    "article in a widget only": (page(f"{MENU}<div class='widget'><article><p>{LOREM}</p></article></div>"), LOREM),
     "comment markup and cut end": (f"<body><article><p>{LOREM}<!-- <p>no</p> --></p><p>tail <a hr", f"{LOREM}\ntail"),
     "comment never closed": (f"<body><article><p>{LOREM}</p><!-- <p>no</p>", LOREM),
     "script never closed": (f"<body><article><p>{LOREM}</p></article><script>var x = '<p>no</p>'", LOREM),
