@@ -201,14 +201,20 @@ def shingle_set(text: str | None, shingle: int = EXACT_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle])) for i in range(count)), np.uint64, count))
 
 
-def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) whose texts (fp, text) have a Jaccard similarity of ``similarity`` or more on five-word shingles. Each text is cut once."""
+def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, shingles) of the ``texts`` (fp, text) that ``nodes`` (fp) name, each cut and moved once."""
 
     def cut(batches):
         for batch in batches:
             sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
+    return stored(texts.join(nodes, "fp", "left_semi").select("fp", "text").mapInArrow(cut, "fp long, shingles binary"))
+
+
+def judged(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) whose ``sets`` (fp, shingles) have a Jaccard similarity of ``similarity`` or more."""
+
     def compare(batches):
         for batch in batches:
             keep = []
@@ -218,8 +224,6 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    linked = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = stored(texts.join(linked, "fp").select("fp", "text").mapInArrow(cut, "fp long, shingles binary"))
     side = lambda e, c: sets.select(F.col("fp").alias(e), F.col("shingles").alias(c))
     # a text with very many links is dealt over SALTS keys, each with its own copy of it
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -227,7 +231,13 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     salted = salted.withColumn("turn", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
     others = side("b", "y").join(salted.select("b", "turn").distinct(), "b")
     both = salted.join(copies, ["a", "salt"]).join(others, ["b", "turn"]).select("a", "b", "x", "y")
-    out = stored(both.mapInArrow(compare, "a long, b long"))
+    return stored(both.mapInArrow(compare, "a long, b long"))
+
+
+def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) whose texts (fp, text) have a Jaccard similarity of ``similarity`` or more on five-word shingles."""
+    sets = shingle_sets(texts, edges.select(F.explode(F.array("a", "b")).alias("fp")))
+    out = judged(edges, sets, similarity)
     release(sets)
     return out
 
@@ -284,6 +294,32 @@ def _proposed(distance: int, low: int, high: int):
     return scan
 
 
+def _close(distance: int):
+    """Over rows (mask, key, fp, node) sorted by all: the nodes that are close to another one of their group."""
+
+    def scan(batches):
+        rest = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            rows = [np.concatenate((r, c.to_numpy())) for r, c in zip(rest, batch.columns)]
+            new = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+            cut = int(new[-1]) if len(new) else 0
+            yield emit([r[:cut] for r in rows], new[:-1])
+            rest = [r[cut:] for r in rows]
+        yield emit(rest, np.zeros(0, np.int64))
+
+    def emit(rows, inner):
+        hit = np.zeros(len(rows[2]), bool)
+        for at in np.split(np.arange(len(hit)), inner):
+            fp = rows[2][at]
+            for k in range(len(at) - 1):
+                near = at[k + 1 :][np.bitwise_count((fp[k + 1 :] ^ fp[k]).view(np.uint64)) <= distance]
+                if len(near):
+                    hit[at[k]] = hit[near] = True
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(rows[3][hit]), pa.int64())], names=["fp"])
+
+    return scan
+
+
 def similar(nodes: DataFrame, texts: DataFrame, distance: int, blocks: int, similarity: float, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Edges (a, b) between ``nodes`` (node, fp) whose fingerprints are within ``distance`` bits and whose ``texts`` (fp: the node, text) are similar.
 
@@ -294,30 +330,38 @@ def similar(nodes: DataFrame, texts: DataFrame, distance: int, blocks: int, simi
     keys = [F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks]
     filed = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select("k.mask", "k.key", "fp", "node")
     work = stored(_few(filed, distance, blocks, group_limit))
+    whole = work.select("mask", "key", "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
+    sets = shingle_sets(texts, stored(whole.mapInArrow(_close(distance), "fp long").distinct()))
     edges, roots, low, high = None, None, 0, 1
     while True:
         rooted = work.withColumn("root", F.col("node")) if roots is None else work.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         dealt = rooted.select("mask", "key", "fp", "node", "root").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
         found = stored(dealt.mapInArrow(_proposed(distance, low, high), "a long, b long, mask long, key long"))
-        good = verified(found.filter("a is not null").select("a", "b").distinct(), texts, similarity)
+        good = judged(found.filter("a is not null").select("a", "b").distinct(), sets, similarity)
         edges = good if edges is None else edges.union(good)
         later = found.filter("mask is not null").select("mask", "key")
         if not later.limit(1).count():
+            release(found, work, sets)
             return edges
         roots = stored(components(edges))
-        work = stored(work.join(later, ["mask", "key"], "left_semi"))
+        rest = stored(work.join(later, ["mask", "key"], "left_semi"))
+        release(found, work)
+        work = rest
         low, high = high, 2 * high + 1
 
 
 def of_equal_prints(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) from the smallest node of each fingerprint to those similar to it; the others of that fingerprint go on among themselves."""
-    left, edges = nodes.select("fp", "node"), None
+    several = nodes.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    left, edges = stored(nodes.select("fp", "node").join(several, "fp", "left_semi")), None
+    sets = shingle_sets(texts, left.select(F.col("node").alias("fp")))
     while True:
         heads = left.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
         asked = stored(left.join(heads, "fp").filter("node > a").select("fp", "a", F.col("node").alias("b")))
         if edges is not None and not asked.limit(1).count():
+            release(sets)
             return edges
-        good = verified(asked.select("a", "b"), texts, similarity)
+        good = judged(asked.select("a", "b"), sets, similarity)
         edges = good if edges is None else edges.union(good)
         left = asked.join(good, ["a", "b"], "left_anti").select("fp", F.col("b").alias("node"))
 
