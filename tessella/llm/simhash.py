@@ -324,7 +324,7 @@ def similar(nodes: DataFrame, texts: DataFrame, distance: int, blocks: int, simi
     """Edges (a, b) between ``nodes`` (node, fp) whose fingerprints are within ``distance`` bits and whose ``texts`` (fp: the node, text) are similar.
 
     They connect what all such pairs connect. A pair is judged by its texts before it counts as a link: each node
-    proposes the next of its close ones, then the next two, four and so on, as long as any of them is not connected to it.
+    proposes the next three of its close ones, then the next twelve, 48 and so on, as long as any of them is not connected to it.
     """
     masks = _masks(list(range(64)), blocks, blocks - distance)
     keys = [F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks]
@@ -332,7 +332,7 @@ def similar(nodes: DataFrame, texts: DataFrame, distance: int, blocks: int, simi
     work = stored(_few(filed, distance, blocks, group_limit))
     whole = work.select("mask", "key", "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
     sets = shingle_sets(texts, stored(whole.mapInArrow(_close(distance), "fp long").distinct()))
-    edges, roots, low, high = None, None, 0, 1
+    edges, roots, low, high = None, None, 0, 3
     while True:
         rooted = work.withColumn("root", F.col("node")) if roots is None else work.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         dealt = rooted.select("mask", "key", "fp", "node", "root").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
@@ -347,7 +347,7 @@ def similar(nodes: DataFrame, texts: DataFrame, distance: int, blocks: int, simi
         rest = stored(work.join(later, ["mask", "key"], "left_semi"))
         release(found, work)
         work = rest
-        low, high = high, 2 * high + 1
+        low, high = high, 4 * high + 3
 
 
 def of_equal_prints(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
