@@ -156,6 +156,21 @@ def test_all_places_of_a_passage_in_a_later_document_repeat_an_earlier_one(spark
     assert twice and all(r["n_repeated_words"] >= 120 for r in twice)
 
 
+def test_all_places_of_a_near_copy_in_a_later_document_repeat_an_earlier_one(spark):
+    """The later document alone holds the near-copy twice in equal surroundings; also where windows under a key are a crowd."""
+    rnd = random.Random(16)
+    rows = []
+    for k in range(24):
+        passage = words(rnd, 60, 1 << 40)
+        block = words(rnd, 80, 1 << 40) + [*passage[:30], f"x{k}", *passage[31:]] + words(rnd, 80, 1 << 40)
+        rows.append((10 * k, " ".join(words(rnd, 40, 1 << 40) + passage + words(rnd, 40, 1 << 40)), "x"))
+        rows.append((10 * k + 1, " ".join(block + words(rnd, 70, 1 << 40) + block), "x"))
+    for crowd in (passages.CROWD, 1):
+        got = {r["doc_id"]: r for r in passages.report(spark.createDataFrame(rows, SCHEMA).repartition(3), crowd=crowd).collect()}
+        later = [got[10 * k + 1] for k in range(24) if got[10 * k + 1]["repeats_of"] == [10 * k]]
+        assert len(later) > 5 and all(r["n_repeated_words"] >= 100 and len(r["begins"]) == 2 for r in later)
+
+
 def test_tied_windows_like_brute_force():
     rnd = random.Random(7)
     for _ in range(60):
