@@ -68,7 +68,7 @@ def one_nation(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["declared_vs_enacted"])
+@pytest.mark.parametrize("name", ["declared_vs_enacted", "finding_marks"])
 def test_no_shuffle_holds_the_pairs_of_a_nation(spark, one_nation, name):
     made = catalog.QUERIES[name](spark, one_nation)
     rows = made.collect()
