@@ -125,16 +125,26 @@ ENTITY = "char:"
 def edge_id(source: Column, target: Column, provenance: Column) -> Column:
     """The same for either order of the ends; the provenance is part of it unless observed."""
     suffix = F.when(provenance == "observed", F.lit("")).otherwise(F.concat(F.lit("@"), provenance))
-    bare = lambda end: F.regexp_replace(end, "^" + ENTITY, "")
+    bare = lambda end: F.when(F.startswith(end, F.lit(ENTITY)), F.substr(end, F.lit(len(ENTITY) + 1))).otherwise(end)
     return F.concat(F.lit("rel:"), bare(F.least(source, target)), F.lit("--"), bare(F.greatest(source, target)), suffix)
 
 
 def edge_ends(edge: Column) -> Column:
-    """What an edge's id was made of: struct source, target, provenance (nulls where it is no such id)."""
-    pattern = r"^rel:([^@]+?)--([^@]+)(?:@(.*))?$"
-    end = lambda k: F.when(edge.rlike(pattern), F.concat(F.lit(ENTITY), F.regexp_extract(edge, pattern, k)))
-    provenance = F.coalesce(F.nullif(F.regexp_extract(edge, pattern, 3), F.lit("")), F.lit("observed"))
-    return F.struct(end(1).alias("source"), end(2).alias("target"), F.when(edge.rlike(pattern), provenance).alias("provenance"))
+    """What an edge's id was made of: struct source, target, provenance (nulls where it is no such id).
+
+    ``rel:source--target``, and ``@provenance`` behind the first @ where there is one: plain functions, as there may be very many ids.
+    """
+    rest = F.substr(edge, F.lit(5))
+    at, ends = F.instr(rest, "@"), F.substring_index(rest, "@", 1)
+    told = F.substr(rest, at + 1)
+    # the first two hyphens that have something before them
+    cut = F.locate("--", ends, 2)
+    line = r"^(.*)$"  # of one line, and without its end
+    fits = F.startswith(edge, F.lit("rel:")) & (cut > 0) & (F.length(ends) >= cut + 2) & ((at == 0) | told.rlike(line))
+    provenance = F.when(at == 0, "observed").otherwise(F.coalesce(F.nullif(F.regexp_extract(told, line, 1), F.lit("")), F.lit("observed")))
+    found = F.struct(F.concat(F.lit(ENTITY), F.substr(ends, F.lit(1), cut - 1)).alias("source"), F.concat(F.lit(ENTITY), F.substr(ends, cut + 2)).alias("target"), provenance.alias("provenance"))
+    none = F.lit(None).cast("string")
+    return F.when(fits, found).otherwise(F.struct(none.alias("source"), none.alias("target"), none.alias("provenance")))
 
 
 def canonical_json(text: Column) -> Column:

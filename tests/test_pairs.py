@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import catalog
+from tessella.functions import text as X
 from tessella.operators import edges, pairs
 
 
@@ -68,9 +69,21 @@ def one_nation(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["declared_vs_enacted", "finding_marks"])
+@pytest.mark.parametrize("name", ["declared_vs_enacted", "finding_marks", "edge_ids"])
 def test_no_shuffle_holds_the_pairs_of_a_nation(spark, one_nation, name):
     made = catalog.QUERIES[name](spark, one_nation)
     rows = made.collect()
     assert len(rows) >= 500 * 499 // 2 and len({r[:2] for r in rows}) == len(rows)
     assert shuffled(made) < 20_000
+
+
+def test_edge_ends_like_their_pattern(spark):
+    rnd = random.Random(3)
+    parts = ["rel:", "a", "-", "--", "@", "b", "\n", " ", " ", "é", "x--y"]
+    texts = {"".join(["rel:" * (rnd.random() < 0.9), *rnd.choices(parts, k=rnd.randint(0, 7))]) for _ in range(5000)}
+    pattern = r"^rel:([^@]+?)--([^@]+)(?:@(.*))?$"
+    part = lambda k: F.when(F.rlike("id", F.lit(pattern)), F.regexp_extract("id", pattern, k))
+    frame = spark.createDataFrame([(t,) for t in [None, *sorted(texts)]], "id string").withColumn("e", X.edge_ends(F.col("id")))
+    want = F.struct(F.concat(F.lit("char:"), part(1)), F.concat(F.lit("char:"), part(2)), F.when(part(1).isNotNull(), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("observed"))))
+    rows = frame.select("e", want.alias("want")).collect()
+    assert all(tuple(r["e"]) == tuple(r["want"]) for r in rows) and sum(r["want"][0] is not None for r in rows) > 300
