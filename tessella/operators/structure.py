@@ -205,6 +205,7 @@ def kept(docs: DataFrame, plans: DataFrame) -> DataFrame:
 
     joined = docs.join(plans.select("path", "regions"), "path", "left")
     some = F.coalesce(F.exists("regions", lambda r: r["role"] == "excluded"), F.lit(False))
-    done = joined.withColumn("_k", F.when(some, cut("content", "regions")))
+    # Spark runs the function for all rows, so that the others' texts are kept from it
+    done = joined.withColumn("_k", F.when(some, cut(F.when(some, F.col("content")), F.when(some, F.col("regions")))))
     content = F.coalesce("_k.content", "content")
     return done.select(*[c for c in docs.columns if c != "content"], content.alias("content"), F.col("_k.note").alias("note"), (~content.eqNullSafe(F.col("content"))).alias("cut"))

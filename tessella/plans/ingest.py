@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import content_hash, document_id, revision_hash, slugify
+from tessella.functions.text import canonical_text, content_hash, document_id, slugify
 from tessella.operators.structure import kept
+from tessella.plans.scratch import release, stored
 from tessella.plans.store import file_states
 from tessella.sources.files import TEXT_SUFFIXES, positioned, text_folder
 
@@ -105,6 +108,27 @@ def previous_state(work: str, revisions: DataFrame, members: DataFrame, document
     return last, mine.filter("path is not null").select("path", "sha256")
 
 
+def version_hash(placed: DataFrame) -> str:
+    """Hash of a version: of the contents of ``placed`` (position, content) in order, one after another; nulls add nothing.
+
+    Texts are sorted by a shuffle and pass one task as a stream, which a hash of all in a row needs; it holds a batch of them.
+    """
+    ordered = placed.select("position", "content").orderBy("position", "content").select(canonical_text(F.col("content")).alias("content")).coalesce(1)
+
+    def digest(batches):
+        found = hashlib.sha256()
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    found.update(text.as_buffer())
+        yield pa.RecordBatch.from_pylist([{"h": found.hexdigest()}])
+
+    told = stored(ordered.mapInArrow(digest, "h string"))
+    row = told.first()
+    release(told)
+    return row["h"] if row else hashlib.sha256().hexdigest()
+
+
 def ingest(
     reading: Reading, works: DataFrame, collections: DataFrame, revisions: DataFrame, members: DataFrame, documents: DataFrame, plans: DataFrame,
     title: str | None = None, collection: str | None = None, role: str = "narrative",
@@ -130,7 +154,7 @@ def ingest(
     if failed:
         raise IngestError(f"{failed[0]['path']}: {failed[0]['note']}")
     placed = positioned(cut.drop("note")).withColumn("sha256", content_hash(F.col("content")))
-    sha = placed.agg(revision_hash(F.collect_list(F.struct("position", "content"))).alias("h")).first()["h"]
+    sha = version_hash(placed)
     before, old = previous_state(work, revisions, members, documents)
     states = file_states(old, placed.select("path", "sha256"))
     rows = placed.join(states, "path").withColumn("document", document_id(F.col("path"), F.col("sha256"))).withColumn("characters", F.length("content").cast("long"))

@@ -1,5 +1,6 @@
 """Versions as a whole: analysis, comparison, opening, ingest, decisions, identity, structure."""
 
+import hashlib
 import json
 
 import pytest
@@ -191,6 +192,21 @@ def test_structure(spark):
     assert structure.kept_text(body, cut)[0].startswith("It began") and structure.kept_text("no such", cut)[1] and structure.kept_text(body, cut[:1])[1]
 
 
+def test_a_version_is_hashed_as_a_stream(spark, monkeypatch):
+    texts = ["\ufeffone\r\ntwo", None, "", "é" * 3000, "three\rfour"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "position long, content string").repartition(3)
+    joined = "one\ntwo" + "é" * 3000 + "three\nfour"
+    want = hashlib.sha256(joined.encode()).hexdigest()
+    boom = lambda *_: (_ for _ in ()).throw(AssertionError("all texts in one array"))
+    monkeypatch.setattr(F, "collect_list", boom)
+    regions = "path string, role string, regions array<struct<label:string,role:string,starts_at:int,ends_at:int,begins_with:string,ends_with:string>>"
+    none = ["work string, title string, collection string, root string", "collection string, name string", "revision string, work string, created_at string, seq long", "version string, position int, document string", "document string, path string, sha256 string", regions]
+    docs = rows.select(F.concat(F.lit("p"), F.col("position").cast("string")).alias("path"), "content")
+    reading = I.Reading(docs, spark.createDataFrame([], "path string, why string"), "/x")
+    assert I.ingest(reading, *[spark.createDataFrame([], x) for x in none]).sha256 == want
+    assert I.version_hash(rows) == want and I.version_hash(rows.limit(0)) == hashlib.sha256(b"").hexdigest()
+
+
 def test_ingest_of_folders_and_listings(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "one.md").write_text("first text")
