@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella import catalog
 from tessella.functions import text as X
-from tessella.operators import edges, pairs
+from tessella.operators import edges, pairs, validate
 
 
 def shuffled(df):
@@ -77,6 +77,23 @@ def test_no_shuffle_holds_the_pairs_of_a_nation(spark, one_nation, name):
     assert shuffled(made) < 20_000
 
 
+def test_issue_counts_like_issues_counted(spark):
+    rnd = random.Random(4)
+    nodes = [(g, n, f"n{rnd.randrange(12)}", " " if g == 4 and n == 3 else "name", "person", "observed", None, []) for g in range(5) for n in range(10)]
+    links = [(g, n, f"e{rnd.randrange(30)}", f"n{rnd.randrange(13)}", f"n{rnd.randrange(13)}", -1.0 if g == 3 and n == 2 else 1.0, "x", ["t"], "observed", None, [(rnd.choice(["d1", "d2", None]), "q")]) for g in range(5) for n in range(25)]
+    n = spark.createDataFrame(nodes, "snapshot long, ord long, id string, name string, kind string, provenance string, review_status string, aliases array<string>")
+    e = spark.createDataFrame(links, "snapshot long, ord long, id string, source string, target string, weight double, weight_basis string, types array<string>, provenance string, confidence double, evidence array<struct<document:string,exact:string>>")
+    held = spark.createDataFrame([(0, "d1"), (1, "d2"), (3, "d1")], "snapshot long, document string")
+    want = validate.document_issues(n, e, held).groupBy("snapshot", "kind", "what").agg(F.count("*").alias("n"))
+    got = sorted(map(tuple, validate.issue_counts(n, e, held).collect()))
+    assert got == sorted(map(tuple, want.collect())) and {k for _, k, *_ in got} == {"schema", "duplicate", "reference"}
+
+
+def test_document_issues_counts_edges_where_they_are(spark, one_nation):
+    made = catalog.QUERIES["document_issues"](spark, one_nation)
+    assert len(made.collect()) == 499 and shuffled(made) < 20_000
+
+
 def test_edge_ends_like_their_pattern(spark):
     rnd = random.Random(3)
     parts = ["rel:", "a", "-", "--", "@", "b", "\n", " ", " ", "é", "x--y"]
