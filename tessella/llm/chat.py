@@ -104,6 +104,16 @@ def mask(bounds: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray,
     return tuple(np.concatenate(x or empty) for x in (token, first, end))
 
 
+#: Conversations that Python holds as objects at once: Spark's batches have thousands.
+FEW = 64
+
+
+def _few(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            yield batch.slice(at, FEW)
+
+
 OUTPUT = "conv_id long, formatted string, ids array<int>, mask_token array<int>, mask_first array<int>, mask_end array<int>"
 
 
@@ -114,7 +124,7 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None) -> DataFra
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def scan(batches):
-        for batch in batches:
+        for batch in _few(batches):
             rows = {k.split()[0]: [] for k in OUTPUT.split(", ")}
             for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text, spans = render([(t["role"], t["text"]) for t in turns])
@@ -131,7 +141,7 @@ def read_back(output: DataFrame) -> DataFrame:
     """Turns and masked texts, read from the formatted texts and masks alone."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             col = {n: batch.column(n).to_pylist() for n in ("conv_id", "formatted", "mask_first", "mask_end")}
             for conv_id, text, first, end in zip(*col.values()):

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from tessella.llm import chat
 
@@ -47,3 +48,21 @@ def test_report(spark):
 
 def test_empty_table(spark):
     assert chat.formatted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_python_holds_few_conversations_at_once():
+    held = []
+
+    class Whole:
+        """Stands for a DataFrame: passes one large batch."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, scan, _):
+            lists = pa.list_(pa.int32())
+            columns = [pa.array(range(1000)), pa.array([chat.render([("user", "a"), ("assistant", "b")])[0]] * 1000), pa.array([[]] * 1000, lists), pa.array([[]] * 1000, lists)]
+            held.extend(scan([pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "mask_first", "mask_end"])]))
+
+    chat.read_back(Whole())
+    assert [x for b in held for x in b.column(0).to_pylist()] == list(range(1000)) and max(b.num_rows for b in held) <= 100
